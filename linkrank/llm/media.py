@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FRAME, WIDTH, HEIGHT = 192, 16, 12
@@ -214,13 +214,11 @@ def _shown(track: dict) -> str:
     return f"codec={track['codec']};handler={track['handler']};timescale={track['timescale']};duration={track['duration']};samples={track['samples']};keyframes={len(keys)};ranges={ranges}"
 
 
-@F.pandas_udf("binary")
-def store_text(text: pd.Series) -> pd.Series:
+def _store(text: pd.Series) -> pd.Series:
     return pd.Series([mux(framed(x)) for x in text], dtype=object)
 
 
-@F.pandas_udf(PROBED)
-def probe(media: pd.Series) -> pd.DataFrame:
+def _probe(media: pd.Series) -> pd.DataFrame:
     """tracks and error of each container."""
     rows = []
     for x in media:
@@ -233,8 +231,7 @@ def probe(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tracks", "error"])
 
 
-@F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-def stored_digests(media: pd.Series) -> pd.DataFrame:
+def _digests(media: pd.Series) -> pd.DataFrame:
     rows = []
     for x in media:
         payload = read_samples(x)
@@ -242,6 +239,19 @@ def stored_digests(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
+# Python functions on columns; made when called, as their types need a session
+def store_text(text: str) -> Column:
+    return F.pandas_udf(_store, "binary")(text)
+
+
+def probe(media: str) -> Column:
+    return F.pandas_udf(_probe, PROBED)(media)
+
+
+def stored_digests(media: Column) -> Column:
+    return F.pandas_udf(_digests, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")(media)
+
+
 def media_columns(rows: DataFrame, column: str = "media") -> DataFrame:
     """``rows`` with the columns tracks and error in place of the payload."""
     return rows.withColumn("probed", probe(column)).select(*(c for c in rows.columns if c != column), "probed.*")
