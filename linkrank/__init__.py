@@ -1,0 +1 @@
+"""A PySpark engine for hyperlinked document collections: link graphs, ranking and text similarity."""
