@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bounds of what a Python worker keeps: transducer states, neighbour tests, and encoded pieces.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 120_000, 300_000, 250_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 350_000, 600_000, 500_000
 
 # Split patterns for which ASCII texts have a form without character tables.
 PLAIN_FORM = {
