@@ -56,7 +56,12 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 def read_json(spark: SparkSession, path: str) -> dict | None:
     if not exists(spark, path):
         return None
-    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    fs, p = _fs(spark, path)  # Spark's readers pass over names that begin with an underscore
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def write_json(spark: SparkSession, path: str, document: dict) -> None:
