@@ -24,7 +24,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import P, stored
@@ -37,8 +37,12 @@ CAP = 256
 #: Cost of one probe row in comparisons.
 ROW_COST = 8.0
 
-#: Near-dedup of texts: fingerprints of word sets, each searched to a distance, and of shingles, whose distance decides.
-COPY_SEEDS, COPY_TAU, COPY_SHINGLE, COPY_BITS, COPY_DISTANCE = 8, 3, 5, 256, 48
+#: Near-dedup of texts: seeds of word-set fingerprints and the distance to which they are searched; words of a shingle
+#: and the Jaccard similarity that makes copies; bits of a shingle fingerprint and the distance beyond which a candidate
+#: isn't compared in full (at a similarity of 0.8 the mean is 38, and 57 the most that was seen).
+COPY_SEEDS, COPY_TAU, COPY_SHINGLE, COPY_SIMILARITY, COPY_BITS, COPY_DISTANCE = 8, 3, 5, 0.8, 256, 72
+#: Candidates of each text that are compared first; the others are compared if they would join two classes.
+NEAREST = 8
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -248,35 +252,64 @@ def near_duplicates(docs: DataFrame, tau: int = 2, cap: int = CAP, text: str = "
 
 
 def _sketch(texts: pd.Series) -> pd.DataFrame:
-    """Fingerprints of the word set under several seeds, and of shingles, as signed 64-bit words."""
-    sets, whole = [], []
+    """Fingerprints of the word set under several seeds, and of shingles, as signed 64-bit words; 32-bit shingle hashes."""
+    sets, whole, parts = [], [], []
     for text in texts:
         words = words_of(text)
         kinds = list(dict.fromkeys(words))
         seeds = range(COPY_SEEDS // 2)  # one hash has 128 bits
-        sets.append(np.concatenate([majority(b"".join([xxhash.xxh3_128_digest(w, s) for w in kinds]), 16) for s in seeds]).view(np.int64).tolist())
-        parts = shingles(words, COPY_SHINGLE)
-        seeds = range(COPY_BITS // 128)
-        whole.append(np.concatenate([majority(b"".join([xxhash.xxh3_128_digest(w, 100 + s) for w in parts]), 16) for s in seeds]).view(np.int64).tolist())
-    return pd.DataFrame({"probe": sets, "check": whole})
+        sets.append(np.concatenate([majority(b"".join([xxhash.xxh3_128_digest(w, s) for w in kinds]), 16) for s in seeds]).view(np.int64))
+        runs = shingles(words, COPY_SHINGLE)
+        hashes = [b"".join([xxhash.xxh3_128_digest(w, 100 + s) for w in runs]) for s in range(COPY_BITS // 128)]
+        whole.append(np.concatenate([majority(h, 16) for h in hashes]).view(np.int64))
+        parts.append(np.unique(np.frombuffer(hashes[0], "<i4")[::4]))
+    return pd.DataFrame({"probe": sets, "check": whole, "parts": parts})
+
+
+def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links whose texts' shingle sets have a Jaccard similarity of COPY_SIMILARITY or more."""
+    a, b = (sets.select(F.col("uid").alias(x), F.col("parts").alias(f"{x}_set")) for x in "ab")
+    both = links.select("a", "b").join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    union = F.size("a_set") + F.size("b_set") - common
+    return both.where((union == 0) | (common >= COPY_SIMILARITY * union)).select("a", "b")
 
 
 def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Near copies: (each distinct text's digest, uid, least doc_id and number of rows; uid and root of linked ones).
 
     Candidates are texts whose word sets' fingerprints lie within COPY_TAU bits under one of COPY_SEEDS seeds. They are
-    linked if COPY_BITS bits over five-word shingles differ in at most COPY_DISTANCE, which stands for a Jaccard
-    similarity of about 0.8.
+    linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. In a large class most pairs
+    are candidates, so each text's nearest are compared first; of the others, those that are in one class by then
+    can't change it.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest"), F.pandas_udf(_sketch, "probe array<long>, check array<long>")(F.col(text)).alias("s"))
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
+    sketch = F.pandas_udf(_sketch, "probe array<long>, check array<long>, parts array<int>")(F.col(text))
+    light = stored(docs.select(F.col(key).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest"), sketch.alias("s")).select("doc_id", "digest", "s.*"))
+    groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.struct("probe", "check")).alias("s"))
     groups = stored(groups.withColumn("uid", F.monotonically_increasing_id()))
     points = groups.select(F.posexplode("s.probe").alias("r", "p"), F.col("uid").alias("node"))
-    links = stored(near_links(points, COPY_TAU, cap))
+    links = near_links(points, COPY_TAU, cap)
     check = groups.select("uid", F.col("s.check").alias("check"))
-    both = links.join(check.withColumnsRenamed({"uid": "u1", "check": "c1"}), F.col("a") == F.col("u1")).join(check.withColumnsRenamed({"uid": "u2", "check": "c2"}), F.col("b") == F.col("u2"))
+    both = links.join(check.withColumnsRenamed({"uid": "a", "check": "c1"}), "a").join(check.withColumnsRenamed({"uid": "b", "check": "c2"}), "b")
     distance = sum((F.bit_count(F.col("c1")[i].bitwiseXOR(F.col("c2")[i])) for i in range(COPY_BITS // 64)), F.lit(0))
-    return groups.select("digest", "uid", "first", "n"), components(both.where(distance <= COPY_DISTANCE).select("a", "b"))
+    links = stored(both.select("a", "b", distance.alias("d")).where(F.col("d") <= COPY_DISTANCE))
+    ends = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    wanted = groups.join(ends, "uid").select("uid", F.col("digest").alias("digest2"), F.col("first").alias("first2"))
+    # one row of each text: the text's copies have other ids, so a hot text is no hot key
+    sets = light.select("doc_id", "digest", "parts").join(wanted, (F.col("digest") == F.col("digest2")) & F.col("doc_id").eqNullSafe(F.col("first2")))
+    sets = stored(sets.groupBy("uid").agg(F.first("parts").alias("parts")))
+    sided = links.select("a", "b", "d", F.explode(F.array("a", "b")).alias("own"))
+    place = F.row_number().over(Window.partitionBy("own").orderBy("d", "a", "b"))
+    near = stored(sided.withColumn("place", place).where(F.col("place") <= NEAREST).select("a", "b").distinct())
+    found = stored(_alike(near, sets))
+    roots = stored(components(found))
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    rest = links.join(near, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = rest.where(~F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False))).select("a", "b")
+    more = stored(_alike(rest, sets))
+    if more.limit(1).count():
+        roots = components(found.unionByName(more))
+    return groups.select("digest", "uid", "first", "n"), roots
 
 
 def deduplicated(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> DataFrame:
