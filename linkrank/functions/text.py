@@ -132,3 +132,14 @@ def shingles(tokens: Column, size: int = 3) -> Column:
 
 def normal_title(title: Column) -> Column:
     return F.replace(title, F.lit(" "), F.lit("_"))
+
+
+def json_list(values: Column) -> Column:
+    """An array of strings as JSON text with a blank after each comma, other than ``to_json`` writes it."""
+    item = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.concat(F.lit("["), F.array_join(F.transform(values, item), ", "), F.lit("]"))
+
+
+def from_json_list(text: Column) -> Column:
+    """The array of strings in JSON text."""
+    return F.from_json(text, "array<string>")

@@ -19,6 +19,7 @@ from ..operators import pagerank as R
 from ..operators import reports as X
 from ..operators import similarity as S
 from ..sources import files, sqldump, xmldump
+from . import figures
 
 PAGES_XML = "pages-articles.xml.bz2"
 
@@ -120,6 +121,8 @@ class Run:
             "similarity_box": X.box(pairs), "percentile_similarity": X.percentile_line(bins), "exact_vs_minhash": X.scatter(pairs),
         }.items():
             files.write_csv(data, self.layout.result(f"figures/{name}.csv"))
+            if figures.available():
+                figures.draw(name, [r.asDict() for r in data.toLocalIterator()], self.layout.result(f"figures/{name}.png"))
 
     STAGES = ("ingest", "pages", "edges", "extract", "articles", "graph_stats", "pagerank", "groups", "shingles", "similarity", "analysis", "figures")
 
@@ -133,16 +136,3 @@ class Run:
                 took[name] = time.time() - began
         return took
 
-
-def histogram_png(rows: list, path: str) -> bool:
-    """Draws a histogram's rows if matplotlib is there; says whether it did."""
-    try:
-        from matplotlib import pyplot
-    except ImportError:
-        return False
-    figure, axes = pyplot.subplots()
-    axes.bar([r["lower"] for r in rows], [r["n"] for r in rows], log=True)
-    figure.savefig(path)
-    pyplot.close(figure)
-    return True
-

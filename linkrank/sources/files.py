@@ -130,6 +130,12 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], force:
     return spark.read.parquet(path)
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file and rows of each part of a table."""
+    name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    return spark.read.parquet(path).groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
     """A small result as one CSV file with a header."""
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

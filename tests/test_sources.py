@@ -103,6 +103,8 @@ def test_tables(spark, tmp_path):
         files.require_complete(spark, path)
     assert files.write_table(spark.range(10), path, "zstd", rows_per_file=3) == 10
     assert files.require_complete(spark, path) == path
+    parts = files.manifest(spark, path).collect()
+    assert sum(r["rows"] for r in parts) == 10 and all(r["rows"] <= 3 and r["file"].endswith(".parquet") for r in parts)
     built = []
     out = files.stage(spark, path, lambda: built.append(1) or spark.range(3))
     assert out.count() == 10 and not built

@@ -93,3 +93,12 @@ def test_similarity(spark):
         sketches.jaccard_of_sets(F.col("x"), F.col("y")), sketches.jaccard_of_sets(F.col("e"), F.col("e")), sketches.jaccard_of_sets(F.col("e"), F.col("e"), 0.0),
         sketches.minhash_jaccard(F.col("x"), F.col("y")), sketches.minhash_jaccard(F.col("x"), F.col("x")), sketches.minhash_jaccard(F.col("x"), F.col("e"))).first()
     assert list(got) == [1 / 3, 1.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def test_json_lists(spark):
+    import json
+
+    for values in ([], ["a", 'q"uote', "back\\slash", "é\n"]):
+        row = spark.createDataFrame([(values,)], "v array<string>").select(text.json_list(F.col("v")).alias("j"))
+        assert row.first()["j"] == json.dumps(values, ensure_ascii=False)
+        assert row.select(text.from_json_list(F.col("j"))).first()[0] == values
