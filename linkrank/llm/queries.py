@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, licenses, media, mixing, rules, sharding, simhash, warc
+from . import bpe, chat, classifier, licenses, media, mixing, oracles, rules, sharding, simhash, warc
 from .common import table
 
 
@@ -15,7 +16,8 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    return out.withColumn("line_license_ids", F.array_join("line_license_ids", ","))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": oracles.license_sql(), "op6_chat_formatting": oracles.chat_sql()}
