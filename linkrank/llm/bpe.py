@@ -28,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 #: Bounds of what a Python worker keeps: transducer states, neighbour tests, and encoded pieces.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 350_000, 600_000, 500_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 300_000, 400_000, 400_000
 
 # Split patterns for which ASCII texts have a form without character tables.
 PLAIN_FORM = {
@@ -259,6 +261,7 @@ class Tokenizer:
     """Encodes and decodes columns. ``path`` is a rank file that the driver reads; its size (some MB) bounds what is sent."""
 
     def __init__(self, spark, path: str, pattern: str):
+        text_batches(spark)
         with open(path, "rb") as f:
             self.raw = f.read()
         self.shared = spark.sparkContext.broadcast(self.raw)

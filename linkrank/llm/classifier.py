@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, stored
+from .common import P, stored, text_batches
 from .rules import FUNCTION_WORDS, labelled_sample
 
 TRAIN_DOCS = 20_000
@@ -143,6 +143,7 @@ def _summed(rows: DataFrame, part) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+    text_batches(docs.sparkSession)
     model = unfitted()
     sample = labelled_sample(labels, TRAIN_DOCS)
     rows = docs.select(F.col(key).alias(f"{P}key"), F.col(text).alias(f"{P}text")).join(F.broadcast(sample), F.col(f"{P}key") == F.col(f"{P}id"))

@@ -19,6 +19,9 @@ MAX_GROUPS = 100_000
 #: Most rows that one bucket of a ranking gets on average.
 BUCKET_ROWS = 4096
 
+#: Most rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Lets Python workers get BATCH_ROWS texts at once and not ten thousand, on this session, as some texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 FRAME, WIDTH, HEIGHT = 192, 16, 12
 TIMESCALE, FRAME_TICKS = 24_000, 1000
 #: Samples between keyframes, and samples in a chunk.
@@ -259,5 +261,6 @@ def media_columns(rows: DataFrame, column: str = "media") -> DataFrame:
 
 def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Texts stored as media, read back from the stored bytes. Both steps run in one pass over each Arrow batch."""
+    text_batches(docs.sparkSession)
     out = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), stored_digests(store_text(text)).alias("m"))
     return out.select("doc_id", "n_bytes", "m.*")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P
+from .common import P, text_batches
 
 #: Most labelled texts, and most of their lines, that training takes.
 TRAIN_DOCS, TRAIN_LINES = 4000, 400_000
@@ -176,6 +176,7 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Field:
+    text_batches(docs.sparkSession)
     sample = labelled_sample(labels, TRAIN_DOCS)
     rows = docs.select(F.col(key).alias(f"{P}key"), F.col(text).alias(f"{P}text")).join(F.broadcast(sample), F.col(f"{P}key") == F.col(f"{P}id"))
     masks = F.pandas_udf(lambda s: s.map(lambda x: line_masks((x or "").encode())[0]), "array<int>")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, stored
+from .common import P, stored, text_batches
 from .components import components
 
 #: Fingerprints that estimates are made from.
@@ -240,6 +240,7 @@ def near_links(points: DataFrame, tau: int, cap: int = CAP) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, tau: int = 2, cap: int = CAP, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint and component_id (the least doc_id reachable over links) of each row."""
+    text_batches(docs.sparkSession)
     light = stored(docs.select(F.col(key).alias("doc_id"), fingerprints(F.col(text)).alias("p")))
     nodes = stored(light.groupBy("p").agg(F.min("doc_id").alias("first")))
     links = near_links(nodes.select(F.lit(0).alias("r"), "p", F.col("p").alias("node")), tau, cap)
@@ -283,6 +284,7 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     are candidates, so each text's nearest are compared first; of the others, those that are in one class by then
     can't change it.
     """
+    text_batches(docs.sparkSession)
     sketch = F.pandas_udf(_sketch, "probe array<long>, check array<long>, parts array<int>")(F.col(text))
     light = stored(docs.select(F.col(key).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest"), sketch.alias("s")).select("doc_id", "digest", "s.*"))
     groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.struct("probe", "check")).alias("s"))

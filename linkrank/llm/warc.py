@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P
+from .common import P, text_batches
 
 #: WARC-Date of responses made from tables that have none.
 DATE = "1970-01-01T00:00:00Z"
@@ -218,5 +218,6 @@ def gzip_member(record: bytes) -> bytes:
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
     """Derivatives of a table of page_id, url and html, without the records' bytes but with their SHA-256."""
+    text_batches(pages.sparkSession)
     out = derive(pages, responses("url", "html"), "page_id")
     return out.select(*(c for c in out.columns if c != "record"), F.sha2("record", 256).alias("record_sha256"))
