@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents scored under the threshold."""
-    return classifier.kept(docs, table(spark, sf_dir, "labels"))
+    """Rejects documents scored under the threshold. It learns from all labelled documents, as few bad ones are left."""
+    return classifier.kept(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,7 +188,8 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def kept(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject; same columns."""
-    model = train(docs, labels, text, key)
+def kept(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject; same columns. It learns from labelled rows of
+    ``learn_from`` (by default ``docs``), which should still have bad ones."""
+    model = train(docs if learn_from is None else learn_from, labels, text, key)
     return docs.withColumn(f"{P}score", score(model, F.col(text))).where(F.col(f"{P}score") >= THRESHOLD).select(*docs.columns)
