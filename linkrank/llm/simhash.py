@@ -34,6 +34,8 @@ from .components import components
 SAMPLE = 2048
 #: Largest bucket that is compared all against all.
 CAP = 256
+#: Most fingerprints that count as hot, and the rows that one has at least.
+HOT, HOT_ROWS = 100_000, 1000
 #: Cost of one probe row in comparisons.
 ROW_COST = 8.0
 
@@ -204,10 +206,11 @@ def near_links(points: DataFrame, tau: int, cap: int = CAP) -> DataFrame:
     out = same.where("a < node").select("a", F.col("node").alias("b"))
     least = least.select("r", "p", "node")
     counts = {x["r"]: x["count"] for x in least.groupBy("r").count().collect()}
-    plan = {}
-    for r, n in counts.items():
-        sample = [x["p"] for x in least.where(F.col("r") == r).orderBy(F.xxhash64("p"), "p").limit(SAMPLE).select("p").collect()]
-        plan[r] = probe_masks(np.array(sample, np.int64).view(np.uint64), n, tau)
+    place = F.row_number().over(Window.partitionBy("r").orderBy(F.xxhash64("p"), "p"))  # tasks keep SAMPLE rows of each r
+    samples: dict[int, list[int]] = {r: [] for r in counts}
+    for x in least.withColumn("place", place).where(F.col("place") <= SAMPLE).select("r", "p").collect():
+        samples[x["r"]].append(x["p"])
+    plan = {r: probe_masks(np.array(p, np.int64).view(np.uint64), counts[r], tau) for r, p in samples.items()}
     if not plan:
         return out
     bucket = ["r", "mask", "key"]
@@ -242,13 +245,17 @@ def near_duplicates(docs: DataFrame, tau: int = 2, cap: int = CAP, text: str = "
     """doc_id, fingerprint and component_id (the least doc_id reachable over links) of each row."""
     text_batches(docs.sparkSession)
     light = stored(docs.select(F.col(key).alias("doc_id"), fingerprints(F.col(text)).alias("p")))
-    nodes = stored(light.groupBy("p").agg(F.min("doc_id").alias("first")))
+    nodes = stored(light.groupBy("p").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     links = near_links(nodes.select(F.lit(0).alias("r"), "p", F.col("p").alias("node")), tau, cap)
     roots = stored(components(links))
     least = roots.join(nodes, F.col("node") == F.col("p")).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(least, "root").select(F.col("node").alias(f"{P}p"), "component_id")
-    named = nodes.join(named, F.col("p") == F.col(f"{P}p"), "left").select(F.col("p").alias(f"{P}p"), F.coalesce("component_id", "first").alias("component_id"))
-    out = light.join(named, F.col("p") == F.col(f"{P}p"))
+    linked = roots.join(least, "root").select(F.col("node").alias(f"{P}p"), "component_id")
+    named = nodes.join(linked, F.col("p") == F.col(f"{P}p"), "left").select(F.col("p").alias(f"{P}p"), F.coalesce("component_id", "first").alias("component_id"), "n")
+    # fingerprints of over a HOT-th of all rows: at most HOT of them, so they are broadcast, and what is shuffled has no hot key
+    least_hot = max(HOT_ROWS, (nodes.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(named.where(F.col("n") > least_hot))
+    same = F.col("p") == F.col(f"{P}p")
+    out = light.join(hot, same).unionByName(light.join(hot, same, "left_anti").join(named.where(F.col("n") <= least_hot), same))
     return out.select("doc_id", F.lpad(F.lower(F.hex("p")), 16, "0").alias("fingerprint"), "component_id")
 
 
