@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, static_plans
 from .graph import degrees, global_rank
 
 
@@ -30,50 +30,52 @@ def inner_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
 def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = 100, every: int = 5) -> Ranking:
     """Iterates until the L1 change is under ``tolerance``, or for ``max_iterations`` steps.
 
-    Edges carry their source's out-degree and stay partitioned by source. A step is one join and one aggregation whose
-    partial sums take in hot targets; one action gives the change and the next step's dangling mass. Every ``every``
-    steps the vector goes to the shared folder; those between are cached and can be computed again.
+    Nodes and edges are partitioned by (source) page once. A step joins them where they lie, adds up by target in each
+    task, and shuffles these partial sums to the nodes: one exchange, which hot targets don't skew. One action gives
+    the change and the next step's dangling mass. Every ``every`` steps the vector goes to the shared folder; those
+    between are cached and can be computed again.
     """
     if max_iterations < 1:
         raise ValueError("one iteration at least")
+    spark = pages.sparkSession
     inner = inner_edges(pages, links)
     nodes = degrees(pages, inner).select("page_id", "out_degree")
-    nodes = checkpointed(nodes)
-    n = nodes.count()
-    if not n:
-        return Ranking(nodes.select("page_id", F.lit(0.0).alias("pagerank")), 0, 0.0)
-    weighted = inner.join(nodes.select(F.col("page_id").alias("source_page_id"), "out_degree"), "source_page_id")
-    # partitioned by source once: no step shuffles edges before the join
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighted = checkpointed(weighted.select("source_page_id", "target_page_id", "out_degree").repartition(parts, "source_page_id"), partitioned=True)
-    ranks = nodes.select("page_id", "out_degree", F.lit(1.0 / n).alias("pagerank"))
-    dangling = nodes.where("out_degree = 0").count() / n
-    held: list[DataFrame] = []
-    error = float("inf")
-    for step in range(1, max_iterations + 1):
-        old = ranks.select(F.col("page_id").alias("source_page_id"), (F.col("pagerank")).alias("r"))
-        sent = weighted.join(old, "source_page_id").groupBy(F.col("target_page_id").alias("page_id")).agg(F.sum(F.col("r") / F.col("out_degree")).alias("sent"))
-        base = (1.0 - damping) / n + damping * dangling / n
-        new = ranks.join(sent, "page_id", "left").select(
-            "page_id", "out_degree", (F.lit(base) + F.lit(damping) * F.coalesce("sent", F.lit(0.0))).alias("pagerank"), F.col("pagerank").alias("before"))
-        if step % every == 0:
-            new = checkpointed(new)
-        else:
-            new = new.persist()
-        seen = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("e"), F.sum(F.when(F.col("out_degree") == 0, F.col("pagerank")).otherwise(0.0)).alias("d")).first()
-        error, dangling = seen["e"], seen["d"] or 0.0
-        ranks = new.drop("before")
-        if step % every == 0:
-            while held:
-                held.pop().unpersist()
-        else:
-            held.append(new)
-        if error < tolerance:
-            break
-    ranks = checkpointed(ranks.select("page_id", "pagerank"))
-    for df in held:
-        df.unpersist()
-    return Ranking(ranks, step, float(error))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with static_plans(spark):
+        nodes = checkpointed(nodes.repartition(parts, "page_id"))
+        n = nodes.count()
+        if not n:
+            return Ranking(nodes.select("page_id", F.lit(0.0).alias("pagerank")), 0, 0.0)
+        sources = nodes.select(F.col("page_id").alias("source_page_id"), "out_degree")
+        weighted = inner.repartition(parts, "source_page_id").join(sources, "source_page_id")
+        weighted = checkpointed(weighted.select("source_page_id", "target_page_id", "out_degree"))
+        ranks = nodes.select("page_id", "out_degree", F.lit(1.0 / n).alias("pagerank"))
+        dangling = nodes.where("out_degree = 0").count() / n
+        held: list[DataFrame] = []
+        for step in range(1, max_iterations + 1):
+            old = ranks.select(F.col("page_id").alias("source_page_id"), F.col("pagerank").alias("r"))
+            sent = weighted.join(old, "source_page_id").groupBy(F.col("target_page_id").alias("page_id")).agg(F.sum(F.col("r") / F.col("out_degree")).alias("sent"))
+            base = (1.0 - damping) / n + damping * dangling / n
+            value = F.lit(base) + F.lit(damping) * F.coalesce("sent", F.lit(0.0))
+            new = ranks.join(sent, "page_id", "left").select("page_id", "out_degree", value.alias("pagerank"), F.col("pagerank").alias("before"))
+            kept = step % every == 0
+            new = checkpointed(new) if kept else new.persist()
+            change = F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("change")
+            loose = F.sum(F.when(F.col("out_degree") == 0, F.col("pagerank")).otherwise(0.0)).alias("dangling")
+            seen = new.agg(change, loose).first()
+            dangling = seen["dangling"]
+            ranks = new.drop("before")
+            if kept:
+                while held:
+                    held.pop().unpersist()
+            else:
+                held.append(new)
+            if seen["change"] < tolerance:
+                break
+        ranks = checkpointed(ranks.select("page_id", "pagerank"))
+        for df in held:
+            df.unpersist()
+    return Ranking(ranks, step, float(seen["change"]))
 
 
 def ranked_pages(ranks: DataFrame, pages: DataFrame, node_degrees: DataFrame, digits: int | None = None) -> DataFrame:

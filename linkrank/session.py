@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,21 +24,22 @@ def session(app: str = "linkrank", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame, partitioned: bool = False) -> DataFrame:
-    """``df`` computed and kept in the shared checkpoint folder; a temporary one only where the cluster names none.
+@contextmanager
+def static_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside keep their partitioning when they are cached or checkpointed, which adaptive ones don't."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
-    With ``partitioned`` the plan is made without adaptive execution, so that joins on the partitioning's key know of
-    it and don't shuffle the rows again.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared checkpoint folder; a temporary one only where the cluster names none."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkrank-checkpoints-"))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    try:
-        if partitioned:
-            spark.conf.set("spark.sql.adaptive.enabled", "false")
-        return df.checkpoint(eager=True)
-    finally:
-        if partitioned:
-            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return df.checkpoint(eager=True)
