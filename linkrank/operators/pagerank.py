@@ -27,13 +27,13 @@ def inner_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     return out.join(ids.withColumnRenamed("page_id", "target_page_id"), "target_page_id", "left_semi").select("source_page_id", "target_page_id")
 
 
-def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = 100, every: int = 5) -> Ranking:
+def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = 100) -> Ranking:
     """Iterates until the L1 change is under ``tolerance``, or for ``max_iterations`` steps.
 
     Nodes and edges are partitioned by (source) page once. A step joins them where they lie, adds up by target in each
-    task, and shuffles these partial sums to the nodes: one exchange, which hot targets don't skew. One action gives
-    the change and the next step's dangling mass. Every ``every`` steps the vector goes to the shared folder; those
-    between are cached and can be computed again.
+    task, and shuffles these partial sums to the nodes: one exchange, which hot targets don't skew. The new vector goes
+    to the shared folder, so no step is computed twice and a lost executor costs one step. One action gives the change
+    and the next step's dangling mass.
     """
     if max_iterations < 1:
         raise ValueError("one iteration at least")
@@ -51,31 +51,21 @@ def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
         weighted = checkpointed(weighted.select("source_page_id", "target_page_id", "out_degree"))
         ranks = nodes.select("page_id", "out_degree", F.lit(1.0 / n).alias("pagerank"))
         dangling = nodes.where("out_degree = 0").count() / n
-        held: list[DataFrame] = []
         for step in range(1, max_iterations + 1):
             old = ranks.select(F.col("page_id").alias("source_page_id"), F.col("pagerank").alias("r"))
             sent = weighted.join(old, "source_page_id").groupBy(F.col("target_page_id").alias("page_id")).agg(F.sum(F.col("r") / F.col("out_degree")).alias("sent"))
             base = (1.0 - damping) / n + damping * dangling / n
             value = F.lit(base) + F.lit(damping) * F.coalesce("sent", F.lit(0.0))
             new = ranks.join(sent, "page_id", "left").select("page_id", "out_degree", value.alias("pagerank"), F.col("pagerank").alias("before"))
-            kept = step % every == 0
-            new = checkpointed(new) if kept else new.persist()
+            new = checkpointed(new)
             change = F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("change")
             loose = F.sum(F.when(F.col("out_degree") == 0, F.col("pagerank")).otherwise(0.0)).alias("dangling")
             seen = new.agg(change, loose).first()
             dangling = seen["dangling"]
             ranks = new.drop("before")
-            if kept:
-                while held:
-                    held.pop().unpersist()
-            else:
-                held.append(new)
             if seen["change"] < tolerance:
                 break
-        ranks = checkpointed(ranks.select("page_id", "pagerank"))
-        for df in held:
-            df.unpersist()
-    return Ranking(ranks, step, float(seen["change"]))
+    return Ranking(ranks.select("page_id", "pagerank"), step, float(seen["change"]))
 
 
 def ranked_pages(ranks: DataFrame, pages: DataFrame, node_degrees: DataFrame, digits: int | None = None) -> DataFrame:
