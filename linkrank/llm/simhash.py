@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +45,6 @@ ROW_COST = 8.0
 #: and the Jaccard similarity that makes copies; bits of a shingle fingerprint and the distance beyond which a candidate
 #: isn't compared in full (at a similarity of 0.8 the mean is 38, and 57 the most that was seen).
 COPY_SEEDS, COPY_TAU, COPY_SHINGLE, COPY_SIMILARITY, COPY_BITS, COPY_DISTANCE = 8, 3, 5, 0.8, 256, 72
-#: Candidates of each text that are compared first; the others are compared if they would join two classes.
-NEAREST = 8
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -193,11 +193,75 @@ def _probes(rows: DataFrame, finer: dict, column: str) -> DataFrame:
     return out.withColumn("key", F.col("p").bitwiseAND(F.col("mask")))
 
 
-def near_links(points: DataFrame, tau: int, cap: int = CAP) -> DataFrame:
+def spanning_forest(bucket: np.ndarray, p: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, j of links within ``tau`` bits that connect each bucket as all such links would: shortest first, and
+    among equals in a hash order. ``bucket`` is sorted."""
+    found = []
+    for step in range(1, len(bucket)):
+        i = np.flatnonzero(bucket[step:] == bucket[:-step])
+        if not len(i):
+            break
+        d = np.bitwise_count(p[i] ^ p[i + step])
+        i, d = i[d <= tau], d[d <= tau]
+        found.append(np.stack([i, i + step, d.astype(np.int64)]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j, d = np.concatenate(found, 1)
+    mixed = (p[i] ^ (p[j] << np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((mixed, d))
+    root = list(range(len(bucket)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for at, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            kept.append(at)
+    return i[kept], j[kept]
+
+
+def _forests(tau: int):
+    """Links of each bucket's spanning forest, from rows sorted by bucket; a bucket may go on in the next batch."""
+
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+        r, mask, key, p, node = rows
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
+        i, j = spanning_forest(np.cumsum(new), p.view(np.uint64), tau)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("r", "mask", "key", "p", "node")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            last = len(rows[0]) - 1
+            same = (rows[0] == rows[0][last]) & (rows[1] == rows[1][last]) & (rows[2] == rows[2][last])
+            cut = int(np.flatnonzero(~same).max(initial=-1)) + 1
+            if cut:
+                yield links([x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield links(held)
+
+    return run
+
+
+def near_links(points: DataFrame, tau: int, cap: int = CAP, sparse: bool = False) -> DataFrame:
     """Links a, b (a < b) that connect whatever is connected by pairs within ``tau`` bits. ``points``: r, p, node.
 
     r names the fingerprint where a node has several; nodes of one r and p are linked to the least of them. All links
-    are between nodes within tau bits in some r.
+    are between nodes within tau bits in some r. With ``sparse`` a bucket gives a spanning forest of its links in
+    place of all, so their number can't grow with the square of a class of copies.
     """
     spark = points.sparkSession
     least = points.groupBy("r", "p").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
@@ -220,11 +284,14 @@ def near_links(points: DataFrame, tau: int, cap: int = CAP) -> DataFrame:
         sizes = level.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         full = stored(level.select(*columns).join(sizes, bucket))
         light = full.where(F.col("n") <= cap)
-        a = light.select(*bucket, F.col("node").alias("a"), F.col("p").alias("pa"))
-        b = light.select(*bucket, F.col("node").alias("b"), F.col("p").alias("pb"))
-        # the comparison is part of the join, so only links leave it
-        close = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= tau
-        near = a.join(b.withColumnsRenamed({k: f"{k}2" for k in bucket}), [F.col(k) == F.col(f"{k}2") for k in bucket] + [F.col("a") < F.col("b"), close])
+        if sparse:
+            near = light.select(*columns[:2], "key", "p", "node").repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(_forests(tau), "a long, b long")
+        else:
+            a = light.select(*bucket, F.col("node").alias("a"), F.col("p").alias("pa"))
+            b = light.select(*bucket, F.col("node").alias("b"), F.col("p").alias("pb"))
+            # the comparison is part of the join, so only links leave it
+            close = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= tau
+            near = a.join(b.withColumnsRenamed({k: f"{k}2" for k in bucket}), [F.col(k) == F.col(f"{k}2") for k in bucket] + [F.col("a") < F.col("b"), close])
         out = out.unionByName(near.select("a", "b"))
         heavy = full.where(F.col("n") > cap).select(*columns)
         if not heavy.limit(1).count():
@@ -288,8 +355,8 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
 
     Candidates are texts whose word sets' fingerprints lie within COPY_TAU bits under one of COPY_SEEDS seeds. They are
     linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. In a large class most pairs
-    are candidates, so each text's nearest are compared first; of the others, those that are in one class by then
-    can't change it.
+    are candidates, so each bucket of the search gives the nearest that hold it together; as each text is in many
+    buckets, under each seed, it is compared with many others.
     """
     text_batches(docs.sparkSession)
     sketch = F.pandas_udf(_sketch, "probe array<long>, check array<long>, parts array<int>")(F.col(text))
@@ -297,28 +364,17 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.struct("probe", "check")).alias("s"))
     groups = stored(groups.withColumn("uid", F.monotonically_increasing_id()))
     points = groups.select(F.posexplode("s.probe").alias("r", "p"), F.col("uid").alias("node"))
-    links = near_links(points, COPY_TAU, cap)
+    links = near_links(points, COPY_TAU, cap, sparse=True)
     check = groups.select("uid", F.col("s.check").alias("check"))
     both = links.join(check.withColumnsRenamed({"uid": "a", "check": "c1"}), "a").join(check.withColumnsRenamed({"uid": "b", "check": "c2"}), "b")
     distance = sum((F.bit_count(F.col("c1")[i].bitwiseXOR(F.col("c2")[i])) for i in range(COPY_BITS // 64)), F.lit(0))
-    links = stored(both.select("a", "b", distance.alias("d")).where(F.col("d") <= COPY_DISTANCE))
+    links = stored(both.where(distance <= COPY_DISTANCE).select("a", "b"))
     ends = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     wanted = groups.join(ends, "uid").select("uid", F.col("digest").alias("digest2"), F.col("first").alias("first2"))
     # one row of each text: the text's copies have other ids, so a hot text is no hot key
     sets = light.select("doc_id", "digest", "parts").join(wanted, (F.col("digest") == F.col("digest2")) & F.col("doc_id").eqNullSafe(F.col("first2")))
-    sets = stored(sets.groupBy("uid").agg(F.first("parts").alias("parts")))
-    sided = links.select("a", "b", "d", F.explode(F.array("a", "b")).alias("own"))
-    place = F.row_number().over(Window.partitionBy("own").orderBy("d", "a", "b"))
-    near = stored(sided.withColumn("place", place).where(F.col("place") <= NEAREST).select("a", "b").distinct())
-    found = stored(_alike(near, sets))
-    roots = stored(components(found))
-    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    rest = links.join(near, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(~F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False))).select("a", "b")
-    more = stored(_alike(rest, sets))
-    if more.limit(1).count():
-        roots = components(found.unionByName(more))
-    return groups.select("digest", "uid", "first", "n"), roots
+    sets = sets.groupBy("uid").agg(F.first("parts").alias("parts"))
+    return groups.select("digest", "uid", "first", "n"), components(_alike(links, sets))
 
 
 def deduplicated(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> DataFrame:

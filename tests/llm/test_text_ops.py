@@ -188,3 +188,32 @@ def test_features_approximate_a_kernel():
     assert np.abs(z @ z.T - want).max() < 0.08
 
 
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(5)
+    for tau in (1, 3):
+        bucket = np.sort(rng.integers(0, 12, 200))
+        centres = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+        p = centres[bucket] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 6, 200).astype(np.uint64))
+        i, j = simhash.spanning_forest(bucket, p, tau)
+        assert (bucket[i] == bucket[j]).all() and (np.bitwise_count(p[i] ^ p[j]) <= tau).all()
+
+        def classes(pairs):
+            root = list(range(200))
+            for a, b in pairs:
+                x, y = root[a], root[b]
+                root = [y if v == x else v for v in root]
+            return [root.index(v) for v in root]
+
+        every = [(a, b) for a in range(200) for b in range(a) if bucket[a] == bucket[b] and bin(int(p[a] ^ p[b])).count("1") <= tau]
+        assert classes(every) == classes(zip(i.tolist(), j.tolist())) and len(i) == 200 - len(set(classes(every)))
+    # rows of one bucket in several batches
+    import pyarrow as pa
+
+    rows = {"r": [0] * 6, "mask": [1] * 6, "key": [7, 7, 7, 8, 9, 9], "p": [0, 1, 3, 0, 4, 5], "node": [10, 11, 12, 13, 14, 15]}
+    batch = pa.RecordBatch.from_pydict(rows)
+    for size in (1, 2, 3, 6):
+        out = [b.to_pylist() for b in simhash._forests(1)(batch.slice(k, size) for k in range(0, 6, size))]
+        assert sorted((x["a"], x["b"]) for b in out for x in b) == [(10, 11), (11, 12), (14, 15)]
+    assert list(simhash._forests(1)(iter([]))) == []
