@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import resident, text_batches
 
 #: Bounds of what a Python worker keeps: transducer states, neighbour tests, and encoded pieces.
 MAX_STATES, MAX_PAIRS, MAX_PIECES = 300_000, 400_000, 400_000
@@ -247,14 +247,11 @@ class Codec:
         yield stream.feed(b"", last=True)
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def _codec(key: tuple, vocabulary: dict[bytes, int], pattern: str) -> Codec:
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(vocabulary, pattern)
-    return _codecs[key]
+    if key not in resident:
+        resident.clear()
+        resident[key] = Codec(vocabulary, pattern)
+    return resident[key]
 
 
 class Tokenizer:
@@ -272,7 +269,7 @@ class Tokenizer:
         shared, key, pattern = self.shared, self.key, self.pattern
 
         def get() -> Codec:
-            return _codecs[key] if key in _codecs else _codec(key, read_ranks(shared.value.splitlines()), pattern)
+            return resident[key] if key in resident else _codec(key, read_ranks(shared.value.splitlines()), pattern)
 
         return get
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, stored, text_batches
+from .common import P, stored, text_batches, trimmed
 from .rules import FUNCTION_WORDS, labelled_sample
 
 TRAIN_DOCS = 20_000
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score(model: Model, text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         x = np.array([statistics((t or "").encode("utf-8", "replace")) for t in texts]).reshape(-1, N_STATS)
-        return pd.Series(model.score(x))
+        return trimmed(pd.Series(model.score(x)))
 
     return F.pandas_udf(run, "double")(text)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
@@ -47,6 +48,28 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+#: Large objects that a Python worker keeps from batch to batch, such as a tokenizer's tables.
+resident: dict = {}
+
+
+def trimmed(result):
+    """``result``, after a Python worker let go of what other stages left in ``resident`` and gave free memory back.
+
+    Workers stay between stages and share the executor's memory with the JVM, so batches of stages that keep nothing
+    end with this.
+    """
+    if resident:
+        resident.clear()
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    return result
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

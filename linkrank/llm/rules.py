@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, text_batches
+from .common import P, text_batches, trimmed
 
 #: Most labelled texts, and most of their lines, that training takes.
 TRAIN_DOCS, TRAIN_LINES = 4000, 400_000
@@ -205,7 +205,7 @@ def verdict(field: Field, text: Column) -> Column:
             good = sum(s for s, y in zip(sizes, field.viterbi(masks, known)) if y)
             share = good / sum(sizes) if sizes else 0.0
             rows.append((*base, share, failed, not failed and share >= MIN_CONTENT))
-        return pd.DataFrame(rows, columns=[*MEASURES, "content_share", "base_failed", "kept"])
+        return trimmed(pd.DataFrame(rows, columns=[*MEASURES, "content_share", "base_failed", "kept"]))
 
     kinds = ", ".join(f"{x} long" for x in MEASURES)
     return F.pandas_udf(judge, f"{kinds}, content_share double, base_failed boolean, kept boolean")(text)

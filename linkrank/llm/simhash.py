@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, stored, text_batches
+from .common import P, stored, text_batches, trimmed
 from .components import components
 
 #: Fingerprints that estimates are made from.
@@ -82,7 +82,7 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 def fingerprints(text: Column) -> Column:
     """The fingerprint as a signed 64-bit integer."""
-    return F.pandas_udf(lambda s: pd.Series([fingerprint(x) for x in s], dtype="uint64").astype("int64"), "long")(text)
+    return F.pandas_udf(lambda s: trimmed(pd.Series([fingerprint(x) for x in s], dtype="uint64").astype("int64")), "long")(text)
 
 
 # --- which masks to probe ---
@@ -234,7 +234,7 @@ def _forests(tau: int):
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
         i, j = spanning_forest(np.cumsum(new), p.view(np.uint64), tau)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+        return trimmed(pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -338,7 +338,7 @@ def _sketch(texts: pd.Series) -> pd.DataFrame:
         hashes = [b"".join([xxhash.xxh3_128_digest(w, 100 + s) for w in runs]) for s in range(COPY_BITS // 128)]
         whole.append(np.concatenate([majority(h, 16) for h in hashes]).view(np.int64))
         parts.append(np.unique(np.frombuffer(hashes[0], "<i4")[::4]))
-    return pd.DataFrame({"probe": sets, "check": whole, "parts": parts})
+    return trimmed(pd.DataFrame({"probe": sets, "check": whole, "parts": parts}))
 
 
 def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
