@@ -41,10 +41,9 @@ HOT, HOT_ROWS = 100_000, 1000
 #: Cost of one probe row in comparisons.
 ROW_COST = 8.0
 
-#: Near-dedup of texts: seeds of word-set fingerprints and the distance to which they are searched; words of a shingle
-#: and the Jaccard similarity that makes copies; bits of a shingle fingerprint and the distance beyond which a candidate
-#: isn't compared in full (at a similarity of 0.8 the mean is 38, and 57 the most that was seen).
-COPY_SEEDS, COPY_TAU, COPY_SHINGLE, COPY_SIMILARITY, COPY_BITS, COPY_DISTANCE = 8, 3, 5, 0.8, 256, 72
+#: Near copies: words of a shingle, the Jaccard similarity of shingle sets that makes copies, shingles of one bucket of
+#: their count on average, least number of buckets, and texts of each shingle that are compared with all its others first.
+COPY_SHINGLE, COPY_SIMILARITY, BUCKET_SHINGLES, BUCKETS, PIVOTS = 5, 0.8, 1 << 21, 12, 6
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -326,55 +325,162 @@ def near_duplicates(docs: DataFrame, tau: int = 2, cap: int = CAP, text: str = "
     return out.select("doc_id", F.lpad(F.lower(F.hex("p")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _sketch(texts: pd.Series) -> pd.DataFrame:
-    """Fingerprints of the word set under several seeds, and of shingles, as signed 64-bit words; 32-bit shingle hashes."""
-    sets, whole, parts = [], [], []
-    for text in texts:
-        words = words_of(text)
-        kinds = list(dict.fromkeys(words))
-        seeds = range(COPY_SEEDS // 2)  # one hash has 128 bits
-        sets.append(np.concatenate([majority(b"".join([xxhash.xxh3_128_digest(w, s) for w in kinds]), 16) for s in seeds]).view(np.int64))
-        runs = shingles(words, COPY_SHINGLE)
-        hashes = [b"".join([xxhash.xxh3_128_digest(w, 100 + s) for w in runs]) for s in range(COPY_BITS // 128)]
-        whole.append(np.concatenate([majority(h, 16) for h in hashes]).view(np.int64))
-        parts.append(np.unique(np.frombuffer(hashes[0], "<i4")[::4]))
-    return trimmed(pd.DataFrame({"probe": sets, "check": whole, "parts": parts}))
+# --- near copies of the pipeline ---
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """Sorted 48-bit shingle hashes, six bytes each."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def shingle_set(text: str | None) -> bytes:
+    """The packed set of the text's shingle hashes."""
+    hashes = b"".join([xxhash.xxh3_64_digest(w, 100) for w in shingles(words_of(text), COPY_SHINGLE)])
+    return packed(np.unique(np.frombuffer(hashes, "<u8") >> np.uint64(16)))
+
+
+def _dealt(buckets: int):
+    """Each set's hashes by bucket of hash ranges, as their low 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for uid, data in zip(batch.column("uid").to_pylist(), batch.column("parts").to_pylist()):
+                x = unpacked(data)
+                bucket = (x * np.uint64(buckets)) >> np.uint64(48)
+                low = x.astype("<u4")
+                starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))).tolist()
+                for i, j in zip(starts, [*starts[1:], len(x)]):
+                    for column, value in zip(rows, (int(bucket[i]), uid, len(x), low[i:j].tobytes())):
+                        column.append(value)
+            yield trimmed(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "uid", "size", "low"]))
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row, the hashes that no other has (their number), and the shared ones with their counts. A hash's rows are
+    in one partition."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    del held
+    lows = rows.column("low").to_pylist()
+    lengths = np.array([len(x) // 4 for x in lows])
+    keys = np.repeat(rows.column("bucket").to_numpy().astype(np.int64) << 32, lengths)
+    keys |= np.frombuffer(b"".join(lows), "<u4")
+    del lows
+    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    counts = counts[inverse].astype(np.int32)
+    del inverse
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    uids, sizes = rows.column("uid").to_numpy(), rows.column("size").to_numpy()
+    for at in range(0, len(uids), 20_000):
+        to = min(at + 20_000, len(uids))
+        k, n = keys[ends[at] : ends[to]], counts[ends[at] : ends[to]]
+        shared = n > 1
+        before = np.concatenate([[0], np.cumsum(shared)])
+        inner = ends[at : to + 1] - ends[at]
+        offsets = before[inner]
+        own = lengths[at:to] - np.diff(offsets)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(n[shared]), pa.array(k[shared])], ["n", "key"]))
+        yield trimmed(pa.RecordBatch.from_arrays([pa.array(uids[at:to]), pa.array(sizes[at:to]), pa.array(own, pa.int32()), lists], ["uid", "size", "own", "shared"]))
+
+
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        common = len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
+        out.append(common >= COPY_SIMILARITY * ((len(x) + len(y)) // 6 - common))
+    return trimmed(pd.Series(out, dtype=bool))
 
 
 def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
     """The links whose texts' shingle sets have a Jaccard similarity of COPY_SIMILARITY or more."""
     a, b = (sets.select(F.col("uid").alias(x), F.col("parts").alias(f"{x}_set")) for x in "ab")
     both = links.select("a", "b").join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    union = F.size("a_set") + F.size("b_set") - common
-    return both.where((union == 0) | (common >= COPY_SIMILARITY * union)).select("a", "b")
+    return both.where(F.pandas_udf(_similar, "boolean")("a_set", "b_set")).select("a", "b")
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """uid, size, place, key: the shingles of which two sets of Jaccard similarity COPY_SIMILARITY share one at least.
+
+    Shingles are ordered by the number of sets that have them. Sets of such similarity have at least
+    COPY_SIMILARITY of each one's shingles in common, so of the others plus one, taken rarest first, one is common.
+    A shingle of one set is never common, so a set with enough of these has no near copy.
+    """
+    total = sets.agg(F.sum(F.octet_length("parts"))).first()[0] or 0
+    buckets = min(65_535, max(BUCKETS, math.ceil(total / 6 / BUCKET_SHINGLES)))
+    dealt = sets.mapInArrow(_dealt(buckets), "bucket int, uid long, size int, low binary")
+    counted = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_counted, "uid long, size int, own int, shared array<struct<n:int,key:long>>")
+    tallied = counted.groupBy("uid").agg(F.first("size").alias("size"), F.sum("own").cast("int").alias("own"), F.flatten(F.collect_list("shared")).alias("shared"))
+    wanted = F.col("size") - F.ceil(F.col("size") * COPY_SIMILARITY - 1e-9).cast("int") + 1 - F.col("own")
+    rarest = tallied.where(wanted > 0).select("uid", "size", "own", F.slice(F.array_sort("shared"), 1, F.greatest(wanted, F.lit(0))).alias("rarest"))
+    return rarest.select("uid", "size", "own", F.posexplode("rarest").alias("at", "x")).select("uid", "size", "own", (F.col("own") + F.col("at")).alias("place"), "x.key")
+
+
+def _may_be(x: str, y: str) -> Column:
+    """Whether the shingles from the places of rows x and y on are enough for COPY_SIMILARITY, if that is the first common one."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    left = F.least(c(x, "size") - c(x, "place"), c(y, "size") - c(y, "place"))
+    return left >= COPY_SIMILARITY / (1 + COPY_SIMILARITY) * (c(x, "size") + c(y, "size")) - 1e-6
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    a, b = F.col(f"{x}.uid"), F.col(f"{y}.uid")
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Near copies: (each distinct text's digest, uid, least doc_id and number of rows; uid and root of linked ones).
 
-    Candidates are texts whose word sets' fingerprints lie within COPY_TAU bits under one of COPY_SEEDS seeds. They are
-    linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. In a large class most pairs
-    are candidates, so each bucket of the search gives the nearest that hold it together; as each text is in many
-    buckets, under each seed, it is compared with many others.
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. All such pairs share
+    one of their rarest shingles, and texts that do are compared in full unless they are in one class already. Of each
+    shingle's texts, that with the fewest shingles of its own is compared with all others first, so a class of copies of
+    one text takes comparisons in proportion to its size. While over ``cap`` texts of a shingle are of several classes,
+    up to PIVOTS texts in turn are compared so; then all pairs of different classes are.
     """
     text_batches(docs.sparkSession)
-    sketch = F.pandas_udf(_sketch, "probe array<long>, check array<long>, parts array<int>")(F.col(text))
-    light = stored(docs.select(F.col(key).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest"), sketch.alias("s")).select("doc_id", "digest", "s.*"))
-    groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.struct("probe", "check")).alias("s"))
-    groups = stored(groups.withColumn("uid", F.monotonically_increasing_id()))
-    points = groups.select(F.posexplode("s.probe").alias("r", "p"), F.col("uid").alias("node"))
-    links = near_links(points, COPY_TAU, cap, sparse=True)
-    check = groups.select("uid", F.col("s.check").alias("check"))
-    both = links.join(check.withColumnsRenamed({"uid": "a", "check": "c1"}), "a").join(check.withColumnsRenamed({"uid": "b", "check": "c2"}), "b")
-    distance = sum((F.bit_count(F.col("c1")[i].bitwiseXOR(F.col("c2")[i])) for i in range(COPY_BITS // 64)), F.lit(0))
-    links = stored(both.where(distance <= COPY_DISTANCE).select("a", "b"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    wanted = groups.join(ends, "uid").select("uid", F.col("digest").alias("digest2"), F.col("first").alias("first2"))
-    # one row of each text: the text's copies have other ids, so a hot text is no hot key
-    sets = light.select("doc_id", "digest", "parts").join(wanted, (F.col("digest") == F.col("digest2")) & F.col("doc_id").eqNullSafe(F.col("first2")))
-    sets = sets.groupBy("uid").agg(F.first("parts").alias("parts"))
-    return groups.select("digest", "uid", "first", "n"), components(_alike(links, sets))
+    sets = F.pandas_udf(lambda s: trimmed(pd.Series([shingle_set(x) for x in s], dtype=object)), "binary")(F.col(text))
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    light = docs.select(F.col(key).alias("doc_id"), digest.alias("digest"), sets.alias("parts"))
+    groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts"))
+    groups = stored(groups.withColumn("uid", F.monotonically_increasing_id()).withColumn("same", F.sha2("parts", 256)))
+    # equal sets: all are linked to the least, which alone is compared with others
+    same = groups.select("uid", "same")
+    least = same.groupBy("same").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = stored(same.join(least, "same").where("a < uid").select("a", F.col("uid").alias("b")))
+    members = stored(_rarest(groups.select("uid", "parts")).join(found.select(F.col("b").alias("uid")), "uid", "left_anti"))
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = stored(members.join(several, "key").withColumn("root", F.col("uid")))
+    sets = stored(groups.select("uid", "parts").join(members.select("uid").distinct(), "uid"))
+    for _ in range(PIVOTS):
+        pivots = members.groupBy("key").agg(F.min(F.struct("own", "uid", "size", "place", "root")).alias("x")).select("key", "x.*")
+        x, y = members.alias("x"), pivots.alias("y")
+        pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
+        found = stored(found.unionByName(_alike(pairs.select(*_ordered("x", "y")).distinct(), sets)))
+        roots = stored(components(found))
+        rest = members.drop("root").join(pivots.select(F.col("key").alias("k"), F.col("uid").alias("u")), (F.col("key") == F.col("k")) & (F.col("uid") == F.col("u")), "left_anti")
+        rest = rest.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        # where all that are left are of one class there is nothing to compare
+        open_keys = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 < r2").select("key", "n")
+        members = stored(rest.join(open_keys, "key"))
+        if not members.where(F.col("n") > cap).limit(1).count():
+            break
+        members = members.drop("n")
+    x, y = members.alias("x"), members.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
+    more = stored(_alike(pairs.select(*_ordered("x", "y")).distinct(), sets))
+    if more.limit(1).count():
+        roots = components(found.unionByName(more))
+    return groups.select("digest", "uid", "first", "n"), roots
 
 
 def deduplicated(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> DataFrame:

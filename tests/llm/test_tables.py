@@ -229,6 +229,40 @@ def test_deduplicated(docs, empty):
     assert simhash.deduplicated(empty).count() == 0
 
 
+def edited_copies(rng):
+    """Copies edited each in other places from one base: like the base, not like one another."""
+    base = prose(rng, 300).split()
+    out = [base]
+    for _ in range(80):
+        x = list(base)
+        for at in rng.sample(range(300), 6):
+            x[at] = prose(rng, 1)
+        out.append(x)
+    return [" ".join(x) for x in out]
+
+
+def shingle_classes(texts):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return set(root)
+
+
+@pytest.mark.parametrize("make", [edited_copies])
+def test_near_copies_are_all_found(spark, make):
+    texts = make(random.Random(3))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cap in (simhash.CAP, 3):
+        assert {r["doc_id"] for r in simhash.deduplicated(df, cap).collect()} == shingle_classes(texts)
+
+
 # --- rules, classifier, tokens ---
 
 
