@@ -3,29 +3,35 @@
 Each source's rows form blocks. Source s with q(s) of Q parts gives its block j the release time floor(j Q / q) and
 the deadline ceil((j + 1) Q / q), in slots of one block. In each slot the released block with the earliest deadline
 goes. As the parts add up to Q, every block goes within its window, so after every slot each source is within less
-than one block of its target share. The schedule repeats after Q slots, which is all the driver simulates; the slot
-of any block follows by arithmetic.
+than one block of its target share. The parts are the weights themselves as whole numbers over one denominator, without
+rounding; the driver simulates every slot, which takes some 24 bytes a block.
 
 When a source has no more blocks, a new phase begins: the other sources' targets are scaled up and scheduled afresh.
 So each row goes out exactly once, and phase 0 is the longest mix at the target weights that needs no repetition.
 
 Edge cases: a null source counts as the source "" ; a source without a target gets its row share; sources with a
-target but no rows are left out; an empty table gives an empty result; repeated rows are rows of their own; the last
+target but no rows are left out; deadlines of over 2^62 slots are given as 2^62; an empty table gives an empty result; repeated rows are rows of their own; the last
 block of a source may be short.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, group_counts, ranked
 
-#: Parts that the weights are rounded to, at least; also the slots of one period. Grows with the number of sources.
+#: Parts that ``whole_parts`` rounds weights to, at least. Grows with the number of sources.
 PARTS = 1000
+#: Most blocks whose schedule is broadcast; a longer one is joined by a shuffle.
+BROADCAST_BLOCKS = 1 << 20
 
 
 def whole_parts(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -60,28 +66,69 @@ def pfair_period(parts: Mapping[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def plan(blocks: Mapping[str, int], weights: Mapping[str, float], parts: int = PARTS) -> list[dict]:
-    """For each phase and source: which blocks go in it and at which slots."""
+def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole parts in exactly their proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    whole = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * whole) for s, x in exact.items()}
+
+
+def pfair_phase(parts: Mapping[str, int], blocks: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slots of each source, as in ``pfair_period``, until one has given all its blocks."""
+    period = sum(parts.values())
+    waiting = [(0, s, 0) for s in parts]  # release, source, block
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int]] = []  # deadline, source, block
+    slots: dict[str, list[int]] = {s: [] for s in parts}
+    for t in range(sum(blocks.values())):
+        while waiting and waiting[0][0] <= t:
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j))
+        deadline, s, j = heapq.heappop(ready)
+        assert t < deadline
+        slots[s].append(t)
+        if j + 1 == blocks[s]:
+            break
+        heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
+    return slots
+
+
+def plan(blocks: Mapping[str, int], weights: Mapping[str, float], parts: int | None = None) -> list[dict]:
+    """For each phase and source: which blocks go in it and at which slots. With ``parts`` the weights are rounded."""
     left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    exact = exact_parts({s: weights[s] for s in left})
     phase = 0
     while left:
-        q = whole_parts({s: weights[s] for s in left}, parts)
-        period, slots = sum(q.values()), pfair_period(q)
-        at = lambda s, j: j // q[s] * period + slots[s][j % q[s]]
-        end = 1 + min(at(s, n - 1) for s, n in left.items())
-        for s in list(left):
-            used = end // period * q[s] + sum(x < end % period for x in slots[s])
-            if used:
-                out.append({"source": s, "phase": phase, "first": done[s], "last": done[s] + used, "start": start, "q": q[s], "period": period, "slots": slots[s]})
-            done[s] += used
-            left[s] -= used
+        q = whole_parts({s: weights[s] for s in left}, parts) if parts else {s: exact[s] for s in left}
+        period, slots = sum(q.values()), pfair_phase(q, left)
+        for s, at in slots.items():
+            if at:
+                out.append({"source": s, "phase": phase, "first": done[s], "last": done[s] + len(at), "start": start, "q": q[s], "period": period, "slots": array("q", at)})
+            done[s] += len(at)
+            left[s] -= len(at)
             if not left[s]:
                 del left[s]
-        start += end
+        start += sum(map(len, slots.values()))
         phase += 1
     return out
 
 
+def schedule(steps: list[dict]) -> pa.Table:
+    """Source, block, phase, slot, release and deadline of each block of a plan."""
+    columns: list = [[], array("q"), array("i"), array("q"), array("q"), array("q")]
+    for x in steps:
+        start, q, period, n = x["start"], x["q"], x["period"], len(x["slots"])
+        columns[0].append(pa.array([x["source"]], pa.string()).take(pa.array([0] * n, pa.int64())))
+        columns[1].extend(range(x["first"], x["last"]))
+        columns[2].extend([x["phase"]] * n)
+        columns[3].extend(start + t for t in x["slots"])
+        columns[4].extend(start + j * period // q for j in range(n))
+        columns[5].extend(min(start - (-(j + 1) * period // q), 1 << 62) for j in range(n))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    rest = [pa.array(memoryview(c), t) if len(c) else pa.array([], t) for c, t in zip(columns[1:], types)]
+    return pa.table([pa.chunked_array(columns[0], pa.string()), *rest], [f"{P}s3", f"{P}block", "mix_phase", "mix_slot", "mix_release", "mix_deadline"])
+
+
 def size_weights(counts: Mapping[str, int], exponent: float) -> dict[str, float]:
     """Target weights that flatten the sources' sizes: count to the power of ``exponent``."""
     return {s: n**exponent for s, n in counts.items()}
@@ -102,24 +149,15 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, expon
         weights = size_weights(counts, exponent)
     targets = {k: float(weights.get(k, 0)) or n / total for k, n in counts.items()}
     steps = plan({k: -(-n // block_rows) for k, n in counts.items()}, targets)
-    by_source: dict[str, list] = {}
-    for x in steps:
-        by_source.setdefault(x["source"], []).append((x["phase"], x["first"], x["last"], x["start"], x["q"], x["period"], x["slots"]))
-    phases = spark.createDataFrame(list(by_source.items()), f"{P}s3 string, {P}phases array<struct<phase:int,first:long,last:long,start:long,q:long,period:long,slots:array<int>>>")
+    blocks = schedule(steps)
+    placed = spark.createDataFrame(blocks)
+    if len(blocks) <= BROADCAST_BLOCKS:
+        placed = F.broadcast(placed)
     out = ranked(rows, s, counts, list(keys), f"{P}rank")
     out = out.withColumn("mix_block", F.expr(f"{P}rank div {block_rows}"))
-    out = out.join(F.broadcast(phases), F.col(s) == F.col(f"{P}s3"))
-    out = out.withColumn(f"{P}p", F.filter(f"{P}phases", lambda p: (p["first"] <= F.col("mix_block")) & (F.col("mix_block") < p["last"]))[0])
-    p = f"{P}p"
-    j = f"(mix_block - {p}.first)"
-    out = out.withColumns({
-        "mix_phase": F.col(f"{p}.phase"),
-        "mix_slot": F.expr(f"{p}.start + {j} div {p}.q * {p}.period + {p}.slots[cast({j} % {p}.q as int)]"),
-        "mix_release": F.expr(f"{p}.start + {j} * {p}.period div {p}.q"),
-        "mix_deadline": F.expr(f"{p}.start + (({j} + 1) * {p}.period + {p}.q - 1) div {p}.q"),
-    })
+    out = out.join(placed, (F.col(s) == F.col(f"{P}s3")) & (F.col("mix_block") == F.col(f"{P}block")))
     out = out.withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + {P}rank % {block_rows}"))
-    return out.drop(s, f"{P}rank", f"{P}s3", f"{P}phases", p), sum(-(-n // block_rows) for n in counts.values())
+    return out.drop(s, f"{P}rank", f"{P}s3", f"{P}block"), sum(-(-n // block_rows) for n in counts.values())
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -127,6 +127,31 @@ def test_plan_is_whole():
         assert taken[s][0][0] == 0 and taken[s][-1][1] == n and all(a[1] == b[0] for a, b in zip(taken[s], taken[s][1:]))
 
 
+@pytest.mark.parametrize("weights,blocks", [
+    ({"hot": 0.9} | {f"s{i}": 0.001 for i in range(100)}, {"hot": 900} | {f"s{i}": 2 for i in range(100)}),
+    ({f"s{i}": float(n**0.7) for i, n in enumerate((70_000, 9_000, 800, 50))}, {f"s{i}": n for i, n in enumerate((2000, 900, 700, 600))}),
+    ({"a": 1.0, "b": 1e-9}, {"a": 3000, "b": 5}),
+])
+def test_plan_keeps_to_the_exact_weights(weights, blocks):
+    from fractions import Fraction
+
+    taken, phases = dict.fromkeys(blocks, 0), {}
+    for x in mixing.plan(blocks, weights):
+        assert x["first"] == taken[x["source"]]
+        taken[x["source"]] = x["last"]
+        phases.setdefault(x["phase"], []).append(x)
+    assert taken == blocks
+    first = phases[0]
+    total, seen = sum(map(Fraction, weights.values())), dict.fromkeys(blocks, 0)
+    order = {t: x["source"] for x in first for t in x["slots"]}
+    for t in range(len(order)):
+        seen[order[t]] += 1
+        assert all(abs(seen[s] - (t + 1) * Fraction(w) / total) < 1 for s, w in weights.items())
+    table = mixing.schedule(mixing.plan(blocks, weights)).to_pylist()
+    assert sorted(r["mix_slot"] for r in table) == list(range(sum(blocks.values())))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in table)
+
+
 def test_mix(docs, empty):
     out = mixing.mix(docs, block_rows=4).collect()
     assert len(out) == docs.count() and len({r["mix_position"] for r in out}) == len(out)
