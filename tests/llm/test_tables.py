@@ -266,6 +266,15 @@ def edited_copies(rng):
     return [" ".join(x) for x in out]
 
 
+def appended_copies(rng):
+    """Copies with a passage appended."""
+    out = []
+    for _ in range(40):
+        base = prose(rng, rng.randint(100, 400))
+        out += [base, base + " " + prose(rng, int(len(base.split()) * rng.uniform(0.1, 0.22)))]
+    return out
+
+
 def shingle_classes(texts):
     sets = []
     for t in texts:
@@ -280,7 +289,7 @@ def shingle_classes(texts):
     return set(root)
 
 
-@pytest.mark.parametrize("make", [edited_copies])
+@pytest.mark.parametrize("make", [edited_copies, appended_copies])
 def test_near_copies_are_all_found(spark, make):
     texts = make(random.Random(3))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
