@@ -275,6 +275,16 @@ def appended_copies(rng):
     return out
 
 
+def repeated_copies(rng):
+    """Copies that repeat a run of their own words."""
+    out = []
+    for _ in range(40):
+        base = prose(rng, rng.randint(100, 200)).split()
+        run = base[40:60]
+        out += [" ".join(base), " ".join(base + run * int(len(base) * 0.6 / 20))]
+    return out
+
+
 def shingle_classes(texts):
     sets = []
     for t in texts:
@@ -289,7 +299,7 @@ def shingle_classes(texts):
     return set(root)
 
 
-@pytest.mark.parametrize("make", [edited_copies, appended_copies])
+@pytest.mark.parametrize("make", [edited_copies, appended_copies, repeated_copies])
 def test_near_copies_are_all_found(spark, make):
     texts = make(random.Random(3))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
