@@ -285,6 +285,16 @@ def repeated_copies(rng):
     return out
 
 
+def reordered_copies(rng):
+    """Texts of the same words: sentences in other orders, two of which are near copies of one another."""
+    out = []
+    for _ in range(12):
+        lines = [prose(rng, 40) for _ in range(12)]
+        swapped = lines[:-2] + lines[:-3:-1]
+        out += [" ".join(lines), " ".join(swapped)] + [" ".join(" ".join(rng.sample(x.split(), 40)) for x in lines) for _ in range(8)]
+    return out
+
+
 def shingle_classes(texts):
     sets = []
     for t in texts:
@@ -299,7 +309,7 @@ def shingle_classes(texts):
     return set(root)
 
 
-@pytest.mark.parametrize("make", [edited_copies, appended_copies, repeated_copies])
+@pytest.mark.parametrize("make", [edited_copies, appended_copies, repeated_copies, reordered_copies])
 def test_near_copies_are_all_found(spark, make):
     texts = make(random.Random(3))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
