@@ -44,6 +44,8 @@ ROW_COST = 8.0
 #: Near copies: words of a shingle, the Jaccard similarity of shingle sets that makes copies, shingles of one bucket of
 #: their count on average, least number of buckets, and texts of each shingle that are compared with all its others first.
 COPY_SHINGLE, COPY_SIMILARITY, BUCKET_SHINGLES, BUCKETS, PIVOTS = 5, 0.8, 1 << 21, 12, 6
+#: Most uids of texts with candidates that are broadcast.
+BROADCAST_UIDS = 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -409,10 +411,10 @@ def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.pandas_udf(_similar, "boolean")("a_set", "b_set")).select("a", "b")
 
 
-def _rarest(sets: DataFrame) -> DataFrame:
-    """uid, size, place, key: the shingles of which two sets of Jaccard similarity COPY_SIMILARITY share one at least.
+def _rarest(sets: DataFrame, compared: DataFrame) -> DataFrame:
+    """uid, size, own, place, key of the sets whose uid is in ``compared``: the shingles of which two sets of Jaccard similarity COPY_SIMILARITY share one at least.
 
-    Shingles are ordered by the number of sets that have them. Sets of such similarity have at least
+    Shingles are ordered by the number of sets that have them, ``compared`` or not. Sets of such similarity have at least
     COPY_SIMILARITY of each one's shingles in common, so of the others plus one, taken rarest first, one is common.
     A shingle of one set is never common, so a set with enough of these has no near copy.
     """
@@ -420,7 +422,7 @@ def _rarest(sets: DataFrame) -> DataFrame:
     buckets = min(65_535, max(BUCKETS, math.ceil(total / 6 / BUCKET_SHINGLES)))
     dealt = sets.mapInArrow(_dealt(buckets), "bucket int, uid long, size int, low binary")
     counted = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_counted, "uid long, size int, own int, shared array<struct<n:int,key:long>>")
-    tallied = counted.groupBy("uid").agg(F.first("size").alias("size"), F.sum("own").cast("int").alias("own"), F.flatten(F.collect_list("shared")).alias("shared"))
+    tallied = counted.join(compared, "uid", "left_semi").groupBy("uid").agg(F.first("size").alias("size"), F.sum("own").cast("int").alias("own"), F.flatten(F.collect_list("shared")).alias("shared"))
     wanted = F.col("size") - F.ceil(F.col("size") * COPY_SIMILARITY - 1e-9).cast("int") + 1 - F.col("own")
     rarest = tallied.where(wanted > 0).select("uid", "size", "own", F.slice(F.array_sort("shared"), 1, F.greatest(wanted, F.lit(0))).alias("rarest"))
     return rarest.select("uid", "size", "own", F.posexplode("rarest").alias("at", "x")).select("uid", "size", "own", (F.col("own") + F.col("at")).alias("place"), "x.key")
@@ -451,16 +453,22 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     sets = F.pandas_udf(lambda s: trimmed(pd.Series([shingle_set(x) for x in s], dtype=object)), "binary")(F.col(text))
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     light = docs.select(F.col(key).alias("doc_id"), digest.alias("digest"), sets.alias("parts"))
-    groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts"))
-    groups = stored(groups.withColumn("uid", F.monotonically_increasing_id()).withColumn("same", F.sha2("parts", 256)))
+    light = stored(light.withColumns({"uid": F.monotonically_increasing_id(), "same": F.sha2("parts", 256)}))
+    # of equal texts one row's uid counts; the sets themselves aren't shuffled for that
+    groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min("same").alias("same"))
+    groups = stored(groups)
     # equal sets: all are linked to the least, which alone is compared with others
     same = groups.select("uid", "same")
     least = same.groupBy("same").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     found = stored(same.join(least, "same").where("a < uid").select("a", F.col("uid").alias("b")))
-    members = stored(_rarest(groups.select("uid", "parts")).join(found.select(F.col("b").alias("uid")), "uid", "left_anti"))
+    compared = groups.select("uid").join(found.select(F.col("b").alias("uid")), "uid", "left_anti")
+    members = stored(_rarest(light.select("uid", "parts"), compared))
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stored(members.join(several, "key").withColumn("root", F.col("uid")))
-    sets = stored(groups.select("uid", "parts").join(members.select("uid").distinct(), "uid"))
+    wanted = stored(members.select("uid").distinct())
+    if wanted.limit(BROADCAST_UIDS + 1).count() <= BROADCAST_UIDS:
+        wanted = F.broadcast(wanted)
+    sets = stored(light.select("uid", "parts").join(wanted, "uid"))
     for _ in range(PIVOTS):
         pivots = members.groupBy("key").agg(F.min(F.struct("own", "uid", "size", "place", "root")).alias("x")).select("key", "x.*")
         x, y = members.alias("x"), pivots.alias("y")
