@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, stored, text_batches, trimmed
@@ -41,11 +41,21 @@ HOT, HOT_ROWS = 100_000, 1000
 #: Cost of one probe row in comparisons.
 ROW_COST = 8.0
 
-#: Near copies: words of a shingle, the Jaccard similarity of shingle sets that makes copies, shingles of one bucket of
-#: their count on average, least number of buckets, and texts of each shingle that are compared with all its others first.
-COPY_SHINGLE, COPY_SIMILARITY, BUCKET_SHINGLES, BUCKETS, PIVOTS = 5, 0.8, 1 << 21, 12, 6
+#: Near copies: words of a shingle, differing bits of fingerprints that are compared first, and texts of each shingle that
+#: are compared with all its others before all pairs are.
+COPY_SHINGLE, COPY_TAU, PIVOTS = 5, 3, 6
+#: Hashes that a bucket gets on average, and least and most buckets.
+BUCKET_HASHES, BUCKETS, MOST_BUCKETS = 1 << 20, 96, 1 << 17
+#: Rows of a block whose places are named by 16 bits.
+BLOCK_BITS, BLOCK_MASK = 12, 4095
+#: The bucket in hot hashes' keys; no other has so high a number.
+HOT_BUCKET = 1 << 20
+#: Sets sampled to find hot hashes, and the share (and least number) of them that a hot hash is in.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 20_000, 0.002, 20
 #: Most uids of texts with candidates that are broadcast.
-BROADCAST_UIDS = 1_000_000
+BROADCAST_UIDS = 500_000
+
+DEALT = "bucket int, block long, hot boolean, place binary, low binary"
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -271,10 +281,13 @@ def near_links(points: DataFrame, tau: int, cap: int = CAP, sparse: bool = False
     out = same.where("a < node").select("a", F.col("node").alias("b"))
     least = least.select("r", "p", "node")
     counts = {x["r"]: x["count"] for x in least.groupBy("r").count().collect()}
-    place = F.row_number().over(Window.partitionBy("r").orderBy(F.xxhash64("p"), "p"))  # tasks keep SAMPLE rows of each r
+    # about SAMPLE fingerprints of each r, in hash order; the hash decides alone, so no task ranks all rows of one r
+    steps = spark.createDataFrame([(r, max(1, n // SAMPLE)) for r, n in counts.items()], f"{P}r int, {P}step long")
+    taken = least.join(F.broadcast(steps), F.col("r") == F.col(f"{P}r")).where(F.pmod(F.xxhash64("p"), F.col(f"{P}step")) == 0)
     samples: dict[int, list[int]] = {r: [] for r in counts}
-    for x in least.withColumn("place", place).where(F.col("place") <= SAMPLE).select("r", "p").collect():
+    for x in taken.select("r", "p").collect():
         samples[x["r"]].append(x["p"])
+    samples = {r: sorted(p) for r, p in samples.items()}
     plan = {r: probe_masks(np.array(p, np.int64).view(np.uint64), counts[r], tau) for r, p in samples.items()}
     if not plan:
         return out
@@ -341,98 +354,228 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def hash_set(text: str | None) -> np.ndarray:
+    """The text's distinct five-word shingles as sorted 64-bit hashes."""
+    hashes = b"".join([xxhash.xxh3_64_digest(w, 100) for w in shingles(words_of(text), COPY_SHINGLE)])
+    return np.unique(np.frombuffer(hashes, "<u8"))
+
+
 def shingle_set(text: str | None) -> bytes:
     """The packed set of the text's shingle hashes."""
-    hashes = b"".join([xxhash.xxh3_64_digest(w, 100) for w in shingles(words_of(text), COPY_SHINGLE)])
-    return packed(np.unique(np.frombuffer(hashes, "<u8") >> np.uint64(16)))
+    return packed(np.unique(hash_set(text) >> np.uint64(16)))
+
+
+def spared(size: int) -> int:
+    """How many shingles of a set of ``size`` a set of similarity 0.8 or more may lack: a fifth."""
+    return size // 5
+
+
+def sketch_size(size: int) -> int:
+    """How many of a set's least hashes its sketch holds: those that a near copy may lack, a tenth of the set, and one."""
+    return min(size, spared(size) + size // 10 + 1)
+
+
+def least_shared(size: int) -> int:
+    """How many hashes of a set's sketch are in the sketch of each near copy, at least.
+
+    A near copy lacks ``spared`` shingles at most, so a sketch has size // 10 + 1 common ones at least. These are the
+    least common ones on both sides, so both sketches have as many as the smaller side grants, whose size is four
+    fifths of ``size`` at least.
+    """
+    return (size - size // 5) // 10 + 1
+
+
+SUMMARY = "p long, size int, same binary, sketch binary"
 
 
-def _dealt(buckets: int):
-    """Each set's hashes by bucket of hash ranges, as their low 32 bits."""
+def summaries(text: Column) -> Column:
+    """The fingerprint of the text's shingle set, the set's size and digest, and the sketch of its least hashes."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            hashes = hash_set(x)
+            p = majority(hashes.tobytes(), 8)
+            short = np.unique(hashes >> np.uint64(16))
+            rows.append((int(p.view(np.int64)[0]), len(short), xxhash.xxh3_128_digest(short.tobytes()), packed(short[: sketch_size(len(short))])))
+        return trimmed(pd.DataFrame(rows, columns=["p", "size", "same", "sketch"]).astype({"p": "int64", "size": "int32"}))
+
+    return F.pandas_udf(run, SUMMARY)(text)
+
+
+def _entries(uids: np.ndarray, sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """uid and hash of each member of packed sets."""
+    return np.repeat(uids, [len(s) // 6 for s in sets]), unpacked(b"".join(sets))
+
+
+def _dealt(buckets: int, column: str, hot: np.ndarray):
+    """The hashes of packed sets by bucket of hash ranges: rows of a bucket, a block of uids, places in the block and the
+    hashes' low 32 bits. Hot hashes stay with their block (in bucket block % buckets), by their number among hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for uid, data in zip(batch.column("uid").to_pylist(), batch.column("parts").to_pylist()):
-                x = unpacked(data)
-                bucket = (x * np.uint64(buckets)) >> np.uint64(48)
-                low = x.astype("<u4")
-                starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))).tolist()
-                for i, j in zip(starts, [*starts[1:], len(x)]):
-                    for column, value in zip(rows, (int(bucket[i]), uid, len(x), low[i:j].tobytes())):
-                        column.append(value)
-            yield trimmed(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "uid", "size", "low"]))
+            uid, x = _entries(batch.column("uid").to_numpy(), batch.column(column).to_pylist())
+            if not len(uid):
+                continue
+            at = np.searchsorted(hot, x)
+            common = (hot[np.minimum(at, len(hot) - 1)] == x) if len(hot) else np.zeros(len(x), bool)
+            block = uid >> BLOCK_BITS
+            bucket = np.where(common, block % buckets, ((x * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64))
+            low = np.where(common, at.astype(np.uint64), x)
+            order = np.lexsort((bucket, common, block))
+            block, bucket, common = block[order], bucket[order], common[order]
+            place, low = (uid[order] & BLOCK_MASK).astype("<u2"), low[order].astype("<u4")
+            new = np.ones(len(block), bool)
+            new[1:] = (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1]) | (common[1:] != common[:-1])
+            starts = np.flatnonzero(new)
+            ends = [*starts[1:].tolist(), len(block)]
+            cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(starts.tolist(), ends)], pa.binary())
+            columns = [pa.array(bucket[starts].astype(np.int32)), pa.array(block[starts]), pa.array(common[starts]), cut(place), cut(low)]
+            yield trimmed(pa.RecordBatch.from_arrays(columns, ["bucket", "block", "hot", "place", "low"]))
+
+    return run
+
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch], estimates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """uid, key and count of what ``_dealt`` sent to a partition. A key stands for one hash in all partitions; counts are
+    exact but for hot hashes, which have an estimate."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        places, lows = batch.column("place").to_pylist(), batch.column("low").to_pylist()
+        lengths = [len(x) // 2 for x in places]
+        uid = (np.repeat(batch.column("block").to_numpy(), lengths) << BLOCK_BITS) | np.frombuffer(b"".join(places), "<u2")
+        hot = np.repeat(batch.column("hot").to_numpy(zero_copy_only=False), lengths)
+        bucket = np.where(hot, HOT_BUCKET, np.repeat(batch.column("bucket").to_numpy(), lengths).astype(np.int64))
+        parts.append((uid, bucket << 32 | np.frombuffer(b"".join(lows), "<u4"), hot))
+    if not parts:
+        return None
+    uid, key, hot = (np.concatenate(x) for x in zip(*parts))
+    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+    counts = counts[inverse]
+    if hot.any():
+        counts[hot] = estimates[key[hot] & 0xFFFFFFFF]
+    return uid, key, counts
+
+
+def _shared(estimates: np.ndarray):
+    """How many of a uid's hashes other sets have, too. A hash's rows are in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _bucket_rows(batches, estimates)
+        if rows is not None:
+            uid, _, counts = rows
+            uids, n = np.unique(uid[counts > 1], return_counts=True)
+            for at in range(0, len(uids), 50_000):
+                yield trimmed(pa.RecordBatch.from_arrays([pa.array(uids[at : at + 50_000]), pa.array(n[at : at + 50_000].astype(np.int32))], ["uid", "n"]))
+
+    return run
+
+
+def _counted(estimates: np.ndarray):
+    """Of each uid, the number of hashes that no other set has, and the shared ones with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _bucket_rows(batches, estimates)
+        if rows is None:
+            return
+        uid, key, counts = rows
+        order = np.argsort(uid, kind="stable")
+        uid, key, counts = uid[order], key[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]]))
+        ends = np.append(starts[1:], len(uid))
+        for at in range(0, len(starts), 20_000):
+            first, last = starts[at : at + 20_000], ends[at : at + 20_000]
+            k, n = key[first[0] : last[-1]], counts[first[0] : last[-1]]
+            several = n > 1
+            before = np.concatenate([[0], np.cumsum(several)])
+            offsets = before[np.append(first, last[-1]) - first[0]]
+            own = (last - first) - np.diff(offsets)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(n[several]), pa.array(k[several])], ["n", "key"]))
+            yield trimmed(pa.RecordBatch.from_arrays([pa.array(uid[first]), pa.array(own, pa.int32()), lists], ["uid", "own", "shared"]))
 
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row, the hashes that no other has (their number), and the shared ones with their counts. A hash's rows are
-    in one partition."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held)
-    del held
-    lows = rows.column("low").to_pylist()
-    lengths = np.array([len(x) // 4 for x in lows])
-    keys = np.repeat(rows.column("bucket").to_numpy().astype(np.int64) << 32, lengths)
-    keys |= np.frombuffer(b"".join(lows), "<u4")
-    del lows
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    counts = counts[inverse].astype(np.int32)
-    del inverse
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    uids, sizes = rows.column("uid").to_numpy(), rows.column("size").to_numpy()
-    for at in range(0, len(uids), 20_000):
-        to = min(at + 20_000, len(uids))
-        k, n = keys[ends[at] : ends[to]], counts[ends[at] : ends[to]]
-        shared = n > 1
-        before = np.concatenate([[0], np.cumsum(shared)])
-        inner = ends[at : to + 1] - ends[at]
-        offsets = before[inner]
-        own = lengths[at:to] - np.diff(offsets)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(n[shared]), pa.array(k[shared])], ["n", "key"]))
-        yield trimmed(pa.RecordBatch.from_arrays([pa.array(uids[at:to]), pa.array(sizes[at:to]), pa.array(own, pa.int32()), lists], ["uid", "size", "own", "shared"]))
-
-
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+def hot_hashes(sets: DataFrame, column: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that HOT_SHARE or more of a sample of about HOT_SAMPLE sets have, sorted, and how many sets may have them.
+
+    Their number is bounded by that of the sample's hashes over HOT_SHARE * HOT_SAMPLE. They are known to be shared, so
+    their entries needn't meet in one task to be counted. ``sets``: uid and packed sets.
+    """
+    step = max(1, rows // HOT_SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = np.unique(unpacked(b"".join(batch.column(column).to_pylist())), return_counts=True)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(n)], ["x", "n"])
+
+    least = max(HOT_LEAST, int(HOT_SHARE * rows / step))
+    taken = sets.where(F.pmod(F.xxhash64("uid"), F.lit(step)) == 0).select(column)
+    found = taken.mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    found.sort()
+    return np.array([r["x"] for r in found], np.uint64), np.array([r["n"] * step for r in found], np.int64)
+
+
+def _buckets(hashes: int) -> int:
+    return min(MOST_BUCKETS, max(BUCKETS, math.ceil(hashes / BUCKET_HASHES)))
+
+
+def _may_have_copies(sets: DataFrame, rows: int) -> DataFrame:
+    """uid of the sets of which so many sketch hashes are in other sketches as a near copy has. ``sets``: uid, size, sketch."""
+    buckets = _buckets((sets.agg(F.sum(F.octet_length("sketch"))).first()[0] or 0) // 6)
+    hot, estimates = hot_hashes(sets, "sketch", rows)
+    dealt = sets.select("uid", "sketch").mapInArrow(_dealt(buckets, "sketch", hot), DEALT)
+    shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared(estimates), "uid long, n int").groupBy("uid").agg(F.sum("n").alias("n"))
+    least = F.expr("(size - size div 5) div 10 + 1")
+    return shared.join(sets.select(F.col("uid").alias("u"), "size"), F.col("uid") == F.col("u")).where(F.col("n") >= least).select("uid")
+
+
+def _similar(sets: pd.Series) -> pd.Series:
+    """Whether both of a pair's sets have a Jaccard similarity of 0.8 or more."""
     out = []
-    for x, y in zip(a, b):
+    for x, y in sets:
         common = len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
-        out.append(common >= COPY_SIMILARITY * ((len(x) + len(y)) // 6 - common))
+        out.append(9 * common >= 4 * (len(x) + len(y)) // 6)
     return trimmed(pd.Series(out, dtype=bool))
 
 
 def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links whose texts' shingle sets have a Jaccard similarity of COPY_SIMILARITY or more."""
-    a, b = (sets.select(F.col("uid").alias(x), F.col("parts").alias(f"{x}_set")) for x in "ab")
-    both = links.select("a", "b").join(a, "a").join(b, "b")
-    return both.where(F.pandas_udf(_similar, "boolean")("a_set", "b_set")).select("a", "b")
+    """The links whose texts' shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Only sets that a link names are shuffled, to the link.
+    """
+    ends = links.select(F.explode(F.array(*(F.struct(F.col(x).alias("end"), F.lit(i).alias("i"), "a", "b") for i, x in enumerate("ab")))).alias("e")).select("e.*")
+    ends = stored(ends)
+    if ends.limit(BROADCAST_UIDS + 1).count() <= BROADCAST_UIDS:
+        ends = F.broadcast(ends)
+    both = sets.join(ends, F.col("uid") == F.col("end")).groupBy("a", "b").agg(F.collect_list("parts").alias("parts"))
+    return both.where(F.pandas_udf(_similar, "boolean")("parts")).select("a", "b")
 
 
-def _rarest(sets: DataFrame, compared: DataFrame) -> DataFrame:
-    """uid, size, own, place, key of the sets whose uid is in ``compared``: the shingles of which two sets of Jaccard similarity COPY_SIMILARITY share one at least.
+def _rarest(sets: DataFrame, rows: int) -> DataFrame:
+    """uid, size, own, place, key: the shingles of which two sets of Jaccard similarity 0.8 share one at least.
 
-    Shingles are ordered by the number of sets that have them, ``compared`` or not. Sets of such similarity have at least
-    COPY_SIMILARITY of each one's shingles in common, so of the others plus one, taken rarest first, one is common.
-    A shingle of one set is never common, so a set with enough of these has no near copy.
+    Shingles are ordered by the number of sets that have them. Sets of such similarity have at least four fifths of each
+    one's shingles in common, so of the others plus one, taken rarest first, one is common. A shingle of one set is
+    never common, so a set with enough of these has no near copy.
     """
-    total = sets.agg(F.sum(F.octet_length("parts"))).first()[0] or 0
-    buckets = min(65_535, max(BUCKETS, math.ceil(total / 6 / BUCKET_SHINGLES)))
-    dealt = sets.mapInArrow(_dealt(buckets), "bucket int, uid long, size int, low binary")
-    counted = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_counted, "uid long, size int, own int, shared array<struct<n:int,key:long>>")
-    tallied = counted.join(compared, "uid", "left_semi").groupBy("uid").agg(F.first("size").alias("size"), F.sum("own").cast("int").alias("own"), F.flatten(F.collect_list("shared")).alias("shared"))
-    wanted = F.col("size") - F.ceil(F.col("size") * COPY_SIMILARITY - 1e-9).cast("int") + 1 - F.col("own")
+    buckets = _buckets((sets.agg(F.sum(F.octet_length("parts"))).first()[0] or 0) // 6)
+    hot, estimates = hot_hashes(sets, "parts", rows)
+    dealt = sets.select("uid", "parts").mapInArrow(_dealt(buckets, "parts", hot), DEALT)
+    counted = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_counted(estimates), "uid long, own int, shared array<struct<n:long,key:long>>")
+    tallied = counted.groupBy("uid").agg(F.sum("own").cast("int").alias("own"), F.flatten(F.collect_list("shared")).alias("shared"))
+    tallied = tallied.withColumn("size", F.col("own") + F.size("shared"))
+    wanted = F.expr("size div 5").cast("int") + 1 - F.col("own")
     rarest = tallied.where(wanted > 0).select("uid", "size", "own", F.slice(F.array_sort("shared"), 1, F.greatest(wanted, F.lit(0))).alias("rarest"))
     return rarest.select("uid", "size", "own", F.posexplode("rarest").alias("at", "x")).select("uid", "size", "own", (F.col("own") + F.col("at")).alias("place"), "x.key")
 
 
 def _may_be(x: str, y: str) -> Column:
-    """Whether the shingles from the places of rows x and y on are enough for COPY_SIMILARITY, if that is the first common one."""
+    """Whether the shingles from the places of rows x and y on are enough for 0.8, if that is the first common one."""
     c = lambda side, name: F.col(f"{side}.{name}")
     left = F.least(c(x, "size") - c(x, "place"), c(y, "size") - c(y, "place"))
-    return left >= COPY_SIMILARITY / (1 + COPY_SIMILARITY) * (c(x, "size") + c(y, "size")) - 1e-6
+    return 9 * left >= 4 * (c(x, "size") + c(y, "size"))
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -440,59 +583,88 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Near copies: (each distinct text's digest, uid, least doc_id and number of rows; uid and root of linked ones).
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` (uid, size, own, place, key) with their roots and n, of the keys whose sets are of several classes."""
+    rooted = members.join(components(found).withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 < r2").select("key", "n")
+    return stored(rooted.join(keys, "key"))
+
 
-    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. All such pairs share
-    one of their rarest shingles, and texts that do are compared in full unless they are in one class already. Of each
-    shingle's texts, that with the fewest shingles of its own is compared with all others first, so a class of copies of
-    one text takes comparisons in proportion to its size. While over ``cap`` texts of a shingle are of several classes,
-    up to PIVOTS texts in turn are compared so; then all pairs of different classes are.
+def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Near copies: (each distinct text's digest, uid, least doc_id, its rows with that doc_id; uid and root of linked ones).
+
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    1. Each text gives the fingerprint of its set, and a sketch: its least hashes. A set of which too few sketch hashes
+       are in other sketches has no near copy; only the others' sets are made and compared.
+    2. The fingerprints' generalised pigeonhole search gives links, which are compared in full.
+    3. A fingerprint finds most near copies, not all. So the sets' rarest shingles, of which near copies share one, give the
+       rest: texts of different classes that share one are compared in full. Of each shingle's texts, that with the
+       fewest shingles of its own is compared with all others first, so a class of copies of one text takes
+       comparisons in proportion to its size. While over ``cap`` texts of a shingle are of several classes, up to PIVOTS
+       texts in turn are compared so; then all pairs of different classes are.
     """
     text_batches(docs.sparkSession)
-    sets = F.pandas_udf(lambda s: trimmed(pd.Series([shingle_set(x) for x in s], dtype=object)), "binary")(F.col(text))
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    light = docs.select(F.col(key).alias("doc_id"), digest.alias("digest"), sets.alias("parts"))
-    light = stored(light.withColumns({"uid": F.monotonically_increasing_id(), "same": F.sha2("parts", 256)}))
-    # of equal texts one row's uid counts; the sets themselves aren't shuffled for that
-    groups = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min("same").alias("same"))
-    groups = stored(groups)
+    light = docs.select(F.col(key).alias("doc_id"), F.unhex(digest).alias("digest"), summaries(F.col(text)).alias("s"))
+    light = stored(light.select("doc_id", "digest", "s.*", F.monotonically_increasing_id().alias("uid")))
+    # of equal texts one row's uid counts
+    rows = light.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "same", "size", "p")).alias("x"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    groups = rows.groupBy("digest").agg(F.min(F.struct(order.alias("order"), "n")).alias("least"), F.min("x").alias("x"))
+    groups = stored(groups.select("digest", F.col("least.order.doc_id").alias("first"), F.col("least.n").alias("n"), "x.*"))
     # equal sets: all are linked to the least, which alone is compared with others
-    same = groups.select("uid", "same")
-    least = same.groupBy("same").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = stored(same.join(least, "same").where("a < uid").select("a", F.col("uid").alias("b")))
-    compared = groups.select("uid").join(found.select(F.col("b").alias("uid")), "uid", "left_anti")
-    members = stored(_rarest(light.select("uid", "parts"), compared))
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stored(members.join(several, "key").withColumn("root", F.col("uid")))
-    wanted = stored(members.select("uid").distinct())
-    if wanted.limit(BROADCAST_UIDS + 1).count() <= BROADCAST_UIDS:
-        wanted = F.broadcast(wanted)
-    sets = stored(light.select("uid", "parts").join(wanted, "uid"))
+    least = groups.groupBy("same").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    found = stored(groups.join(least, "same").where("a < uid").select("a", F.col("uid").alias("b")))
+    compared = groups.join(found.select(F.col("b").alias("u")), F.col("uid") == F.col("u"), "left_anti").select("uid")
+    total = compared.count()
+    sketches = light.select("uid", "size", "sketch").join(_few(compared.select(F.col("uid").alias("u")), total), F.col("uid") == F.col("u")).drop("u")
+    wanted = stored(_may_have_copies(sketches if total <= BROADCAST_UIDS else stored(sketches), total))
+    left = wanted.count()
+    wanted = stored(groups.join(wanted, "uid").select("uid", "digest", "first", "n", "p"))
+    sets = stored(_sets(docs, _few(wanted.select("uid", F.col("digest").alias(f"{P}digest"), F.col("first").alias(f"{P}first"), F.col("n").alias(f"{P}n")), left), text, key))
+    near = near_links(wanted.select(F.lit(0).alias("r"), "p", F.col("uid").alias("node")), COPY_TAU, cap, sparse=True)
+    found = stored(found.unionByName(_alike(near, sets)))
+    members = _open(_rarest(sets, left), found)
     for _ in range(PIVOTS):
+        if not members.where(F.col("n") > 1).limit(1).count():
+            return groups, components(found)
         pivots = members.groupBy("key").agg(F.min(F.struct("own", "uid", "size", "place", "root")).alias("x")).select("key", "x.*")
         x, y = members.alias("x"), pivots.alias("y")
         pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
-        found = stored(found.unionByName(_alike(pairs.select(*_ordered("x", "y")).distinct(), sets)))
-        roots = stored(components(found))
-        rest = members.drop("root").join(pivots.select(F.col("key").alias("k"), F.col("uid").alias("u")), (F.col("key") == F.col("k")) & (F.col("uid") == F.col("u")), "left_anti")
-        rest = rest.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        # where all that are left are of one class there is nothing to compare
-        open_keys = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 < r2").select("key", "n")
-        members = stored(rest.join(open_keys, "key"))
+        more = stored(_alike(pairs.select(*_ordered("x", "y")).distinct(), sets))
+        rest = members.drop("root", "n").join(pivots.select(F.col("key").alias("k"), F.col("uid").alias("u")), (F.col("key") == F.col("k")) & (F.col("uid") == F.col("u")), "left_anti")
+        found = stored(found.unionByName(more))
+        members = _open(rest, found)
         if not members.where(F.col("n") > cap).limit(1).count():
             break
-        members = members.drop("n")
     x, y = members.alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
     more = stored(_alike(pairs.select(*_ordered("x", "y")).distinct(), sets))
-    if more.limit(1).count():
-        roots = components(found.unionByName(more))
-    return groups.select("digest", "uid", "first", "n"), roots
+    return groups, components(found.unionByName(more))
+
+
+def _few(rows: DataFrame, count: int) -> DataFrame:
+    """``rows``, to be broadcast if there are BROADCAST_UIDS at most."""
+    return F.broadcast(rows) if count <= BROADCAST_UIDS else rows
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """uid and the packed shingle set of the texts in ``wanted``: each one's row with its least id."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    rows = docs.select(F.col(key).alias(f"{P}id"), F.col(text).alias(f"{P}text"), digest.alias(f"{P}own"))
+    rows = rows.join(wanted, (F.col(f"{P}own") == F.col(f"{P}digest")) & F.col(f"{P}id").eqNullSafe(F.col(f"{P}first"))).select("uid", f"{P}text", f"{P}n")
+    # rows that repeat id and text in full
+    rows = rows.where(F.col(f"{P}n") == 1).unionByName(rows.where(F.col(f"{P}n") > 1).dropDuplicates(["uid"]))
+    return rows.select("uid", F.pandas_udf(lambda s: trimmed(pd.Series([shingle_set(x) for x in s], dtype=object)), "binary")(f"{P}text").alias("parts"))
 
 
 def deduplicated(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each class of near copies, that with the least doc_id (then digest); same columns."""
+    """One row of ``docs`` for each class of near copies, that with the least doc_id (then digest); same columns.
+
+    Null ids come last; null and empty texts, and texts without words, are copies of one another; rows that repeat in
+    full leave one; an empty table gives an empty result; other columns stay as they are, whatever their names.
+    """
     groups, roots = copy_classes(docs, cap, text, key)
     roots = stored(roots)
     # of each class, all members but the least go
@@ -502,9 +674,9 @@ def deduplicated(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     gone = members.join(least, "root").where(order != F.col("least")).select(F.col("uid").alias(f"{P}gone"))
     stays = groups.join(gone, F.col("uid") == F.col(f"{P}gone"), "left_anti")
     stays = stored(stays.select(F.col("first").alias(f"{P}first"), F.col("digest").alias(f"{P}digest"), F.col("n").alias(f"{P}n")))
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     found = docs.join(stays, digest.eqNullSafe(F.col(f"{P}digest")) & F.col(key).eqNullSafe(F.col(f"{P}first")))
-    # rows that repeat id and text in full: only texts with several rows can have them
+    # rows that repeat id and text in full: only texts with several such rows can have them
     once = found.where(F.col(f"{P}n") == 1).select(*docs.columns)
     more = found.where(F.col(f"{P}n") > 1).dropDuplicates([f"{P}digest"]).select(*docs.columns)
     return once.unionByName(more)
