@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import math
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where none is named."""
+    """The folder that all executors share, as the cluster names it; a temporary one only for a local master that names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkrank-shared-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -92,7 +95,14 @@ def stored(df: DataFrame, *order: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` gave, as nothing will read it again."""
+    _delete(df.sparkSession, df._stored_at)
 
 
 def group_counts(df: DataFrame, group: str) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, stored
+from .common import P, discarded, stored
 
 
 def _star(both: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = _star(large)
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u > v").distinct())
+        last, edges = edges, stored(small.where("u > v").distinct())
+        discarded(last)
         # equal links have equal sums; a sum of hashes doesn't overflow as a decimal
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v").cast("decimal(38,0)"))).first()
         if after == before:

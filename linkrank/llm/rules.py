@@ -1,14 +1,20 @@
 """Quality rules: line sequence labelling with a linear-chain conditional random field (operator 5).
 
 Each line with a word gets binary features; Viterbi decoding marks it as content or boilerplate. A text is kept if at
-least half of its characters in such lines are content and the base rules hold. The field is trained on a bounded
-sample of labelled texts (TRAIN_DOCS, rows with crc32(doc_id) mod 5 = 0 left out): lines of good texts count as
-content, lines of bad ones as boilerplate. Only the feature masks of the sample's lines come to the driver.
+least half of its characters in such lines are content and the base rules hold.
+
+The field is trained on a bounded sample of labelled texts (TRAIN_DOCS; rows with crc32(doc_id) mod 5 = 0 are left out;
+texts that would bring the sample over TRAIN_LINES lines are left out, too). Labels are of texts, so those of lines are
+latent: a line begins with its text's label unless its own features say otherwise, and after each fit the decoded labels
+take over wherever they leave most of a good text content and most of a bad one boilerplate. Only the feature masks and
+sizes of the sample's lines come to the driver.
 
 Base rules fail a text with under 50 words, or with more than half of its words in repeated 3-word windows.
 
-Edge cases: a null text has no words and fails; a text without lines has content share 0; without usable labels every
-line is content, so the base rules alone decide; repeated rows each give a row; an empty table gives an empty result.
+Edge cases: a null text has no words and fails; a text without lines has content share 0; without usable labels of both
+kinds every line is content, so the base rules alone decide; of labelled rows that repeat an id the least masks count;
+of equally good label sequences content goes before boilerplate; repeated rows each give a row; an empty table gives an
+empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +44,12 @@ SYMBOLS = b"#*$%&|<>"
 _UPPER, _LOWER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 _ENDS = (b".", b"!", b"?", b'"', b":", b";")
 N_FEATURES = 20
+#: Features that alone speak against a line: said before, symbols, capitals, digits, bars, shouting, few kinds of words, furniture.
+AGAINST = sum(1 << i for i in (5, 8, 9, 11, 12, 13, 17, 18))
+#: Features of prose: the line ends as a sentence does, and a fifth of its words are function words.
+PROSE = 1 << 4 | 1 << 15
+#: Fits after the first, each from the labels that the one before decodes.
+REFITS = 2
 
 
 def measures(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -127,24 +139,60 @@ def untrained() -> Field:
     return Field(np.zeros((N_FEATURES, 2)), np.zeros(2), np.zeros((2, 2)))
 
 
-def train(sequences: list[list[int]], labels: list[int], rounds: int = 100, rate: float = 0.1, decay: float = 1e-3, length: int = 64) -> Field:
-    """Maximum likelihood by forward-backward and Adam steps; long sequences are cut into pieces of ``length``."""
-    pieces = [(s[i : i + length], y) for s, y in zip(sequences, labels) for i in range(0, len(s), length)]
-    if not pieces or len(set(labels)) < 2:
+def first_labels(masks: list[int], label: int) -> list[int]:
+    """What a text's label and a line's own features say: a good text's lines are content but for those with features
+    against them, a bad one's are boilerplate but for prose without such features."""
+    if label:
+        return [0 if m & AGAINST else 1 for m in masks]
+    return [1 if m & PROSE == PROSE and not m & AGAINST else 0 for m in masks]
+
+
+def agreeing(lines: list[int], sizes: list[int], label: int, others: list[int]) -> list[int]:
+    """``lines`` if more than half of the characters have the text's label, else ``others``."""
+    return lines if 2 * sum(n for n, y in zip(sizes, lines) if y == label) > sum(sizes) else others
+
+
+def train(sequences: list[list[int]], labels: list[int], sizes: list[list[int]] | None = None, rounds: int = 60, refits: int = REFITS) -> Field:
+    """A field from the line masks of texts and the texts' labels; lines' labels are latent. ``sizes``: characters of lines."""
+    if len(set(labels)) < 2 or not any(sequences):
+        return untrained()
+    sizes = sizes or [[1] * len(s) for s in sequences]
+    lines = [agreeing(first_labels(s, y), n, y, [y] * len(s)) for s, y, n in zip(sequences, labels, sizes)]
+    field = fit(sequences, lines, rounds)
+    for _ in range(refits):
+        known: dict[int, tuple[float, float]] = {}
+        after = [agreeing(field.viterbi(s, known), n, y, before) for s, y, n, before in zip(sequences, labels, sizes, lines)]
+        if after == lines:
+            break
+        lines = after
+        field = fit(sequences, lines, rounds // 2, field)
+    return field
+
+
+def fit(sequences: list[list[int]], lines: list[list[int]], rounds: int = 60, start: Field | None = None, rate: float = 0.1, decay: float = 1e-3, length: int = 64) -> Field:
+    """Maximum likelihood of line labels by forward-backward and Adam steps; long sequences are cut into pieces of ``length``."""
+    cut = ((tuple(s[i : i + length]), tuple(y[i : i + length])) for s, y in zip(sequences, lines) for i in range(0, len(s), length))
+    pieces = Counter(cut)  # equal pieces are worked on once
+    if not pieces:
         return untrained()
     n, t = len(pieces), max(len(s) for s, _ in pieces)
-    masks, on, y = np.zeros((n, t), np.int64), np.zeros((n, t), bool), np.array([y for _, y in pieces])
-    for i, (s, _) in enumerate(pieces):
-        masks[i, : len(s)], on[i, : len(s)] = s, True
+    masks, on, y = np.zeros((n, t), np.int64), np.zeros((n, t), bool), np.zeros((n, t), np.int64)
+    for i, (s, marks) in enumerate(pieces):
+        masks[i, : len(s)], on[i, : len(s)], y[i, : len(s)] = s, True, marks
+    times = np.array(list(pieces.values()), float)
     # lines with one mask have one score, so features are looked up by distinct mask
     kinds, which = np.unique(masks, return_inverse=True)
     which, x = which.reshape(masks.shape), bits(kinds)
-    # both labels of texts weigh the same, whatever their numbers
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    # both labels weigh the same, whatever their numbers: a piece counts by those of its lines
+    ones = (y * on).sum(1)
+    zeros = on.sum(1) - ones
+    share = ones / (ones + zeros)
+    weight = times * (share * 0.5 / max(1.0, (times * share).sum()) + (1 - share) * 0.5 / max(1.0, (times * (1 - share)).sum()))
     sizes = (len(kinds), N_FEATURES)
-    theta = np.zeros(N_FEATURES * 2 + 2 + 4)
+    theta = np.zeros(N_FEATURES * 2 + 2 + 4) if start is None else np.concatenate([start.features.ravel(), start.begin, start.steps.ravel()])
     split = lambda v: (v[: sizes[1] * 2].reshape(-1, 2), v[sizes[1] * 2 : -4], v[-4:].reshape(2, 2))
-    want = np.eye(2)[y]
+    want = np.eye(2)[y] * on[..., None]
+    seen = np.einsum("nti,ntj->nij", want[:, :-1], want[:, 1:])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     add = lambda z, axis: (top := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - top).sum(axis))
     for step in range(1, rounds + 1):
@@ -158,10 +206,9 @@ def train(sequences: list[list[int]], labels: list[int], rounds: int = 100, rate
             beta[:, i] = np.where(on[:, i + 1, None], add(steps + (local[:, i + 1] + beta[:, i + 1])[:, None, :], 2), 0.0)
         z = add(alpha[:, -1], 1)
         p = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
-        miss = (p - want[:, None, :] * on[..., None]) * weight[:, None, None]
+        miss = (p - want) * weight[:, None, None]
         by_kind = np.stack([np.bincount(which.ravel(), miss[..., k].ravel(), sizes[0]) for k in (0, 1)], 1)
         both = np.exp(alpha[:, :-1, :, None] + steps + (local + beta)[:, 1:, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
-        seen = want[:, :, None] * want[:, None, :] * on[:, 1:].sum(1)[:, None, None]
         gradient = np.concatenate([(x.T @ by_kind).ravel(), miss[:, 0].sum(0), ((both.sum(1) - seen) * weight[:, None, None]).sum(0).ravel()]) + decay * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -179,15 +226,21 @@ def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     text_batches(docs.sparkSession)
     sample = labelled_sample(labels, TRAIN_DOCS)
     rows = docs.select(F.col(key).alias(f"{P}key"), F.col(text).alias(f"{P}text")).join(F.broadcast(sample), F.col(f"{P}key") == F.col(f"{P}id"))
-    masks = F.pandas_udf(lambda s: s.map(lambda x: line_masks((x or "").encode())[0]), "array<int>")
-    found = rows.select(f"{P}key", f"{P}quality", masks(f"{P}text").alias("masks"))
-    taken, sequences, marks = 0, [], []
-    for r in sorted(found.limit(2 * TRAIN_DOCS).toLocalIterator(), key=lambda r: (r[0], r[1], r[2])):
-        if taken + len(r["masks"]) <= TRAIN_LINES:
-            taken += len(r["masks"])
-            sequences.append(r["masks"])
+    masks = F.pandas_udf(lambda s: s.map(lambda x: _packed((x or "").encode("utf-8", "replace"))), "array<long>")
+    found = rows.select(f"{P}key", f"{P}quality", masks(f"{P}text").alias("lines")).groupBy(f"{P}key", f"{P}quality").agg(F.min("lines").alias("lines"))
+    sequences, sizes, marks, taken = [], [], [], 0
+    for r in sorted(found.toLocalIterator(), key=lambda r: (r[0], r[1])):  # TRAIN_DOCS rows at most
+        if taken + len(r["lines"]) <= TRAIN_LINES:
+            taken += len(r["lines"])
+            sequences.append([x & (1 << N_FEATURES) - 1 for x in r["lines"]])
+            sizes.append([x >> N_FEATURES for x in r["lines"]])
             marks.append(r[f"{P}quality"])
-    return train(sequences, marks)
+    return train(sequences, marks, sizes)
+
+
+def _packed(raw: bytes) -> list[int]:
+    """Mask and size of each line as one number."""
+    return [m | n << N_FEATURES for m, n in zip(*line_masks(raw))]
 
 
 def verdict(field: Field, text: Column) -> Column:

@@ -1,9 +1,14 @@
 """Operators on small tables: brute-force results, nulls, empty tables, repeated rows, clashing columns."""
 
 import hashlib
+import itertools
 import json
+import math
+import os
 import random
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -107,49 +112,61 @@ def test_shards(spark, docs, empty):
 # --- mixing ---
 
 
-@pytest.mark.parametrize("parts", [{"a": 1}, {"a": 3, "b": 1}, {"a": 500, "b": 333, "c": 100, "d": 67}, {str(i): 1 + i % 7 for i in range(40)}])
-def test_period_is_fair(parts):
-    total = sum(parts.values())
-    slots = mixing.pfair_period(parts)
-    order = {t: s for s, x in slots.items() for t in x}
-    assert sorted(order) == list(range(total))
-    seen = dict.fromkeys(parts, 0)
-    for t in range(total):
-        seen[order[t]] += 1
-        assert all(abs(seen[s] - (t + 1) * q / total) < 1 for s, q in parts.items())
-
-
-def test_plan_is_whole():
-    blocks, weights = {"a": 100, "b": 10, "c": 1}, {"a": 1.0, "b": 1.0, "c": 2.0}
-    steps = mixing.plan(blocks, weights, 100)
-    taken = {s: sorted((x["first"], x["last"]) for x in steps if x["source"] == s) for s in blocks}
-    for s, n in blocks.items():
-        assert taken[s][0][0] == 0 and taken[s][-1][1] == n and all(a[1] == b[0] for a, b in zip(taken[s], taken[s][1:]))
+def shares(weights, blocks, v):
+    """How much of each source the ideal mix has served at virtual time v, by the definition."""
+    return {s: min(Fraction(n), Fraction(weights[s]) * v) for s, n in blocks.items()}
 
 
 @pytest.mark.parametrize("weights,blocks", [
     ({"hot": 0.9} | {f"s{i}": 0.001 for i in range(100)}, {"hot": 900} | {f"s{i}": 2 for i in range(100)}),
     ({f"s{i}": float(n**0.7) for i, n in enumerate((70_000, 9_000, 800, 50))}, {f"s{i}": n for i, n in enumerate((2000, 900, 700, 600))}),
     ({"a": 1.0, "b": 1e-9}, {"a": 3000, "b": 5}),
+    ({"a": 1.0, "b": 1.0, "c": 2.0}, {"a": 100, "b": 10, "c": 1}),
+    ({"a": 3.0}, {"a": 7}),
 ])
-def test_plan_keeps_to_the_exact_weights(weights, blocks):
-    from fractions import Fraction
-
-    taken, phases = dict.fromkeys(blocks, 0), {}
-    for x in mixing.plan(blocks, weights):
-        assert x["first"] == taken[x["source"]]
-        taken[x["source"]] = x["last"]
-        phases.setdefault(x["phase"], []).append(x)
-    assert taken == blocks
-    first = phases[0]
+def test_schedule_keeps_to_the_exact_weights(weights, blocks):
+    rows = mixing.schedule(blocks, weights).to_pylist()
+    p = lambda r, name: r[f"__lr_{name}"]
+    assert sorted(p(r, "mix_slot") for r in rows) == list(range(sum(blocks.values())))
+    assert all(p(r, "mix_release") <= p(r, "mix_slot") < p(r, "mix_deadline") for r in rows)
+    assert all([p(r, "block2") for r in rows if p(r, "s3") == s] == list(range(n)) for s, n in blocks.items())
+    # windows by the definition: the ideal mix's slots at the times when it begins and ends a block
+    for r in rows[:: max(1, len(rows) // 300)]:
+        s, j = p(r, "s3"), p(r, "block2")
+        begin, end = (sum(shares(weights, blocks, x / Fraction(weights[s])).values()) for x in (Fraction(j), Fraction(j + 1)))
+        assert p(r, "mix_release") == math.floor(begin) and p(r, "mix_deadline") == math.ceil(end)
+        assert p(r, "mix_phase") == sum(Fraction(n) / Fraction(weights[k]) <= Fraction(j) / Fraction(weights[s]) for k, n in blocks.items())
+    # until a source runs out, each is within less than one block of its weight's share after every slot
     total, seen = sum(map(Fraction, weights.values())), dict.fromkeys(blocks, 0)
-    order = {t: x["source"] for x in first for t in x["slots"]}
-    for t in range(len(order)):
+    order = {p(r, "mix_slot"): p(r, "s3") for r in rows}
+    first = min(Fraction(n) * total / Fraction(weights[s]) for s, n in blocks.items())
+    for t in range(math.floor(first)):
         seen[order[t]] += 1
         assert all(abs(seen[s] - (t + 1) * Fraction(w) / total) < 1 for s, w in weights.items())
-    table = mixing.schedule(mixing.plan(blocks, weights)).to_pylist()
-    assert sorted(r["mix_slot"] for r in table) == list(range(sum(blocks.values())))
-    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in table)
+
+
+def test_a_million_slots_stay_within_a_block():
+    weights = {"a": 1 / 3, "b": 2 / 3, "c": 0.123}
+    made = mixing.pfair(mixing.exact_parts(weights), {"a": 300_000, "b": 600_000, "c": 110_700})
+    total = sum(weights.values())
+    for s, w in weights.items():
+        slots = np.asarray(made[s][1], float)
+        taken, ideal = np.arange(len(slots)), slots * (w / total)
+        assert len(slots) and (np.abs(taken - ideal) < 1 + 1e-6).all()
+
+
+def test_many_sources_are_planned_fast():
+    began = time.time()
+    blocks = {f"s{i:05}": 1 + i % 7 for i in range(10_000)}
+    rows = mixing.schedule(blocks, {s: float(n) ** 0.7 for s, n in blocks.items()})
+    assert rows.num_rows == sum(blocks.values()) and time.time() - began < 10
+
+
+def test_mix_leaves_own_columns(docs):
+    odd = docs.withColumns({"mix_slot": F.lit("mine"), "mix_block": F.lit("too"), "q": F.lit(1)})
+    assert {(r["mix_slot"], r["mix_block"]) for r in mixing.mixed(odd, block_rows=4).collect()} == {("mine", "too")}
+    out = mixing.mix(odd, block_rows=4)
+    assert len(set(out.columns)) == len(out.columns) and dict(out.dtypes)["mix_slot"] == "bigint"
 
 
 def test_mix(docs, empty):
@@ -166,11 +183,6 @@ def test_mix(docs, empty):
     assert mixing.mix(docs, weights={"hot": 5.0, "gone": 1.0}, block_rows=1).count() == docs.count()
 
 
-def test_whole_parts():
-    got = mixing.whole_parts({"a": 0.5, "b": 0.3, "c": 1e-9}, 100)
-    assert sum(got.values()) == 100 and min(got.values()) >= 1
-
-
 def test_ranked(spark):
     df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'x', 'y') AS g")
     out = common.ranked(df, "g", common.group_counts(df, "g"), ["id"], "r").collect()
@@ -331,6 +343,44 @@ def test_rules(docs, labels, empty):
     assert all(r["kept"] != r["base_failed"] for r in no)
 
 
+def sentence(rng, n=14):
+    return " ".join(rng.choice(["the", "of", "and", "in", *WORDS]) for _ in range(n)).capitalize() + " of the plain."
+
+
+def test_lines_in_good_texts_are_marked(spark):
+    rng = random.Random(4)
+    good = ["\n".join(sentence(rng) for _ in range(rng.randint(3, 9))) for _ in range(150)]
+    bad = ["\n".join("BUY!! | $$$ | MENU!! | CLICK" for _ in range(rng.randint(2, 8))) for _ in range(50)]
+    mixed = []
+    for _ in range(40):
+        lines = [sentence(rng) for _ in range(10)]
+        lines[4:4] = ["HOME!! | MENU!! | CLICK!! | SHARE!!"] * 2
+        mixed.append("\n".join(lines))
+    rows = [(i, x, "en", "s", 1) for i, x in enumerate(good + bad + mixed)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame([(i, int(not 150 <= i < 200), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    field = rules.train_on(table, marks)
+    for x in mixed:
+        assert field.viterbi(rules.line_masks(x.encode())[0], {}) == [1] * 4 + [0] * 2 + [1] * 6
+    got = {r["doc_id"]: r for r in rules.judged(table, marks).collect()}
+    assert all(0 < got[i]["content_share"] < 1 and got[i]["kept"] for i in range(200, 240))
+    # kept by the definition, with the best of all label sequences of short texts
+    value = lambda x, y: field.begin[y[0]] + sum(x[i, v] for i, v in enumerate(y)) + sum(field.steps[a, b] for a, b in zip(y, y[1:]))
+    for i, x, *_ in rows[:150:15] + rows[150:200:10]:
+        masks, sizes = rules.line_masks(x.encode())
+        scores = rules.bits(masks) @ field.features
+        best = max(itertools.product((0, 1), repeat=len(masks)), key=lambda y: value(scores, y))
+        share = sum(n for n, y in zip(sizes, best) if y) / sum(sizes)
+        assert got[i]["content_share"] == pytest.approx(share) and got[i]["kept"] == (share >= 0.5 and not got[i]["base_failed"])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_texts_can_be_mixed(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    out = rules.judged(read("documents"), read("labels"))
+    assert out.where("content_share > 0 AND content_share < 1").count() >= 20
+
+
 def test_classifier(spark, docs, labels, empty):
     rng = random.Random(1)
     made = [(i, prose(rng, 60) + "." if i % 2 else "$$$ ### BUY!! " * rng.randint(5, 30), "en", "s", 1) for i in range(300)]

@@ -156,6 +156,8 @@ def test_field_learns():
     mixed = rules.line_masks((good[0] + "\n" + "\n".join(["CLICK!! | $$$ | MENU!!"] * 6)).encode())[0]
     assert field.viterbi(mixed, known) == [1] * 5 + [0] * 6
     assert not rules.train([], []).features.any()
+    assert rules.first_labels([0, 1 << 5, 1 << 4 | 1 << 15], 1) == [1, 0, 1] and rules.first_labels([0, 1 << 5, 1 << 4 | 1 << 15], 0) == [0, 0, 1]
+    assert rules.agreeing([1, 0], [3, 2], 1, [1, 1]) == [1, 0] and rules.agreeing([1, 0], [2, 2], 1, [1, 1]) == [1, 1]
 
 
 def test_isotonic():
