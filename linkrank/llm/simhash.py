@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, stored, text_batches, trimmed
+from .common import P, discarded, stored, text_batches, trimmed
 from .components import components
 
 #: Fingerprints that estimates are made from.
@@ -541,16 +541,16 @@ def _similar(sets: pd.Series) -> pd.Series:
 
 
 def _alike(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links whose texts' shingle sets have a Jaccard similarity of 0.8 or more.
+    """The links whose texts' shingle sets have a Jaccard similarity of 0.8 or more, as a stored table.
 
     Only sets that a link names are shuffled, to the link.
     """
     ends = links.select(F.explode(F.array(*(F.struct(F.col(x).alias("end"), F.lit(i).alias("i"), "a", "b") for i, x in enumerate("ab")))).alias("e")).select("e.*")
     ends = stored(ends)
-    if ends.limit(BROADCAST_UIDS + 1).count() <= BROADCAST_UIDS:
-        ends = F.broadcast(ends)
-    both = sets.join(ends, F.col("uid") == F.col("end")).groupBy("a", "b").agg(F.collect_list("parts").alias("parts"))
-    return both.where(F.pandas_udf(_similar, "boolean")("parts")).select("a", "b")
+    both = sets.join(_few(ends, ends.count()), F.col("uid") == F.col("end")).groupBy("a", "b").agg(F.collect_list("parts").alias("parts"))
+    out = stored(both.where(F.pandas_udf(_similar, "boolean")("parts")).select("a", "b"))
+    discarded(ends)
+    return out
 
 
 def _rarest(sets: DataFrame, rows: int) -> DataFrame:
@@ -624,7 +624,7 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     wanted = stored(groups.join(wanted, "uid").select("uid", "digest", "first", "n", "p"))
     sets = stored(_sets(docs, _few(wanted.select("uid", F.col("digest").alias(f"{P}digest"), F.col("first").alias(f"{P}first"), F.col("n").alias(f"{P}n")), left), text, key))
     near = near_links(wanted.select(F.lit(0).alias("r"), "p", F.col("uid").alias("node")), COPY_TAU, cap, sparse=True)
-    found = stored(found.unionByName(_alike(near, sets)))
+    found = found.unionByName(_alike(near, sets))
     members = _open(_rarest(sets, left), found)
     for _ in range(PIVOTS):
         if not members.where(F.col("n") > 1).limit(1).count():
@@ -632,15 +632,16 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
         pivots = members.groupBy("key").agg(F.min(F.struct("own", "uid", "size", "place", "root")).alias("x")).select("key", "x.*")
         x, y = members.alias("x"), pivots.alias("y")
         pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
-        more = stored(_alike(pairs.select(*_ordered("x", "y")).distinct(), sets))
+        more = _alike(pairs.select(*_ordered("x", "y")).distinct(), sets)
         rest = members.drop("root", "n").join(pivots.select(F.col("key").alias("k"), F.col("uid").alias("u")), (F.col("key") == F.col("k")) & (F.col("uid") == F.col("u")), "left_anti")
-        found = stored(found.unionByName(more))
+        found, last = found.unionByName(more), members
         members = _open(rest, found)
+        discarded(last)
         if not members.where(F.col("n") > cap).limit(1).count():
             break
     x, y = members.alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
-    more = stored(_alike(pairs.select(*_ordered("x", "y")).distinct(), sets))
+    more = _alike(pairs.select(*_ordered("x", "y")).distinct(), sets)
     return groups, components(found.unionByName(more))
 
 

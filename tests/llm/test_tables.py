@@ -234,9 +234,20 @@ def test_long_chain(spark):
     from linkrank.llm.components import components
 
     n = 300
-    got = components(spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")).collect()
-    assert len(got) == n and {r["root"] for r in got} == {0}
-    assert components(spark.range(0).selectExpr("id AS a", "id AS b")).count() == 0
+    rng = random.Random(2)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)]
+    for small in (1000, 0):  # in one task, and in rounds
+        got = components(spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b"), small).collect()
+        assert len(got) == n and {r["root"] for r in got} == {0}
+        assert components(spark.range(0).selectExpr("id AS a", "id AS b"), small).count() == 0
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long"), small).collect()}
+        want = {}
+        for a, b in pairs:
+            x, y = want.setdefault(a, {a}), want.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                want.update(dict.fromkeys(y, x))
+        assert got == {i: min(x) for i, x in want.items() if len(x) > 1}
 
 
 def test_near_duplicates(docs, empty):
@@ -329,6 +340,34 @@ def test_near_copies_are_all_found(spark, make):
         assert {r["doc_id"] for r in simhash.deduplicated(df, cap).collect()} == shingle_classes(texts)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_near_copies_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
+    kept = shingle_classes([x or "" for _, x in found])  # all pairs
+    assert {r["doc_id"] for r in simhash.deduplicated(docs).collect()} == {found[i][0] for i in kept}
+
+
+def test_sketches_keep_near_copies():
+    rng = random.Random(11)
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        a = {rng.getrandbits(48) for _ in range(n)}
+        b = set(rng.sample(sorted(a), len(a) - rng.randint(0, len(a) // 5))) | {rng.getrandbits(48) for _ in range(rng.randint(0, 8))}
+        if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+            x, y = (set(sorted(s)[: simhash.sketch_size(len(s))]) for s in (a, b))
+            assert len(x & y) >= max(simhash.least_shared(len(a)), simhash.least_shared(len(b)))
+
+
+@pytest.mark.parametrize("share", [2.0, 0.01])  # no hot hashes, and all that two sets have
+def test_hot_hashes_lose_no_copy(spark, monkeypatch, share):
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)
+    monkeypatch.setattr(simhash, "HOT_LEAST", 2 if share < 1 else 10**9)
+    texts = edited_copies(random.Random(5)) + appended_copies(random.Random(6))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicated(df).collect()} == shingle_classes(texts)
+
+
 # --- rules, classifier, tokens ---
 
 
