@@ -1,13 +1,16 @@
 """Media columns: ISO base media containers (operator 1).
 
 ``probe`` walks the nested boxes of a container and decodes its sample tables (stsd, stts, stsc, stsz or stz2, stco or
-co64, stss), giving each track's codec, duration, sample count and the byte ranges of its keyframes. Payload bytes are
-never decoded; only ``read_samples`` slices them out. ``mux`` stores a payload losslessly: one video track of
-uncompressed 8-bit grey frames of 16 by 12 samples, 192 bytes each, every eighth a keyframe.
-
-Edge cases: null or empty media gives the error "empty"; truncated or malformed boxes give an error text and no
-tracks; an empty payload is stored as one frame of blanks; a null text counts as empty; equal texts give equal
-containers; repeated rows each give a row; an empty table gives an empty result.
+co64, stss) and those of its fragments (trex, tfhd, trun), giving each track's codec, duration, sample count and the
+byte ranges of its keyframes. Payload bytes are never decoded; only ``payload`` slices them out. ``mux`` stores a
+payload losslessly: one video track of uncompressed 8-bit grey frames of 16 by 12 samples, 192 bytes each, every eighth
+a keyframe.
+
+Edge cases: null or empty media gives the error "empty"; truncated or malformed boxes and tables that reach past their
+box or the file give an error text and no tracks, before anything of their stated size is allocated; an empty payload is
+stored as one frame of blanks; a null text counts as empty; equal texts give equal containers; tracks keep the order of
+the file, so there are no ties; repeated rows each give a row; an empty table gives an empty result; columns named
+tracks and error are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ import itertools
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import P, text_batches
 
 FRAME, WIDTH, HEIGHT = 192, 16, 12
 TIMESCALE, FRAME_TICKS = 24_000, 1000
@@ -33,7 +37,7 @@ KEYFRAME_EVERY, CHUNK = 8, 32
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 
-TRACK = "struct<track_id:int,handler:string,codec:string,timescale:long,duration:long,samples:long,keyframes:array<struct<start:long,bytes:long>>>"
+TRACK = "struct<track_id:long,handler:string,codec:string,timescale:long,duration:long,samples:long,keyframes:array<struct<start:long,bytes:long>>>"
 PROBED = f"tracks array<{TRACK}>, error string"
 
 
@@ -41,115 +45,249 @@ class Malformed(ValueError):
     pass
 
 
-def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """Type and body range of each box; sizes may be 64-bit (1) or reach to the end (0)."""
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """Type, begin and body range of each box; sizes may be 64-bit (1) or reach to the end (0)."""
     while start < end:
         if end - start < 8:
-            raise Malformed("box header cut off")
+            raise Malformed("cut off in a box header")
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
             if end - start < 16:
-                raise Malformed("box header cut off")
+                raise Malformed("cut off in a box header")
             (size,), head = struct.unpack_from(">Q", data, start + 8), 16
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
             raise Malformed(f"box {kind.decode('latin-1')} reaches past its parent")
-        yield kind, start + head, start + size
+        yield kind, start, start + head, start + size
         start += size
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    for kind, a, b in boxes(data, start, end):
-        yield (*path, kind), a, b
+@dataclass
+class Box:
+    kind: bytes
+    begin: int
+    body: memoryview
+    parent: bytes
+    within: bool  # a track
+
+
+def walk(data: memoryview) -> Iterator[Box]:
+    """All boxes, parents before their children. The boxes that are open are on a stack, so any depth will do."""
+    opened = [(b"", False, boxes(data, 0, len(data)))]
+    while opened:
+        parent, within, rest = opened[-1]
+        found = next(rest, None)
+        if found is None:
+            opened.pop()
+            continue
+        kind, begin, a, b = found
+        yield Box(kind, begin, data[a:b], parent, within)
         if kind in NESTED:
-            yield from walk(data, a, b, (*path, kind))
+            opened.append((kind, within or (kind == b"trak" and parent == b"moov"), boxes(data, a, b)))
+
+
+def _fields(form: str, body: memoryview, at: int) -> tuple:
+    if at + struct.calcsize(form) > len(body):
+        raise Malformed("cut off in a box")
+    return struct.unpack_from(form, body, at)
+
 
+def _array(body: memoryview, at: int, kind: str, n: int) -> np.ndarray:
+    """``n`` numbers of a box, which must hold them."""
+    if at + n * np.dtype(kind).itemsize > len(body):
+        raise Malformed("a table reaches past its box")
+    return np.frombuffer(body, kind, n, at).astype(np.int64)
 
-def _table(data: memoryview, at: int, kind: str, fields: int = 1) -> np.ndarray:
+
+def _table(body: memoryview, kind: str, fields: int = 1) -> np.ndarray:
     """A full box's table: version and flags, a count, then big-endian fields."""
-    (n,) = struct.unpack_from(">I", data, at + 4)
-    out = np.frombuffer(data, kind, n * fields, at + 8)
+    (n,) = _fields(">I", body, 4)
+    out = _array(body, 8, kind, n * fields)
     return out.reshape(-1, fields) if fields > 1 else out
 
 
-def _sizes(data: memoryview, kind: bytes, at: int) -> tuple[int, np.ndarray | int]:
-    """Sample count and sizes; one number where all are equal."""
-    one, n = struct.unpack_from(">II", data, at + 4)
-    if kind == b"stsz":
-        return n, one or np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+def _sizes(body: memoryview, compact: bool, most: int) -> np.ndarray:
+    """Sample sizes. ``most``: bytes of the file, which samples of one size can't be over in all."""
+    one, n = _fields(">II", body, 4)
+    if not compact:
+        if one and n * one > most:
+            raise Malformed("samples reach past the end")
+        return np.full(n, one, np.int64) if one else _array(body, 12, ">u4", n)
     bits = one & 255
+    if bits not in (4, 8, 16):
+        raise Malformed(f"sample sizes of {bits} bits")
     if bits == 4:
-        packed = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
-        return n, np.stack([packed >> 4, packed & 15], 1).reshape(-1)[:n].astype(np.int64)
-    return n, np.frombuffer(data, f">u{bits // 8}", n, at + 12).astype(np.int64)
+        packed = _array(body, 12, ">u1", (n + 1) // 2)
+        return np.stack([packed >> 4, packed & 15], 1).reshape(-1)[:n]
+    return _array(body, 12, f">u{bits // 8}", n)
 
 
 def sample_offsets(chunks: np.ndarray, runs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The place of each sample: chunk offsets, runs of (first chunk, samples per chunk, description), sample sizes."""
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    if per.sum() < len(sizes):
+    firsts = runs[:, 0]
+    if not len(runs) or firsts[0] != 1 or (np.diff(firsts) < 1).any() or firsts[-1] > len(chunks):
+        raise Malformed("runs of chunks out of order")
+    per = np.repeat(runs[:, 1], np.diff(np.append(firsts, len(chunks) + 1)))
+    ends = np.cumsum(per)
+    if ends[-1] < len(sizes):
         raise Malformed("chunks hold too few samples")
-    chunk = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+    chunk = np.searchsorted(ends, np.arange(len(sizes)), "right")
     before = np.cumsum(sizes) - sizes
-    first = np.concatenate([[0], np.cumsum(per)[:-1]])
-    return chunks[chunk] + before - before[np.minimum(first, len(sizes) - 1)][chunk]
-
-
-def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict:
-    at = lambda kind: found[kind][0] if kind in found else None
-    out = {"track_id": 0, "handler": "", "codec": "", "timescale": 0, "duration": 0, "samples": 0, "keyframes": []}
-    if (x := at(b"tkhd")) is not None:
-        (out["track_id"],) = struct.unpack_from(">I", data, x + (20 if data[x] else 12))
-    if (x := at(b"mdhd")) is not None:
-        out["timescale"], out["duration"] = struct.unpack_from(">IQ" if data[x] else ">II", data, x + (20 if data[x] else 12))
-    if (x := at(b"hdlr")) is not None:
-        out["handler"] = bytes(data[x + 8 : x + 12]).decode("latin-1")
-    if (x := at(b"stsd")) is not None:
-        out["codec"] = bytes(data[x + 12 : x + 16]).decode("latin-1")
-    kind = b"stsz" if b"stsz" in found else b"stz2"
-    if kind not in found:
-        return out
-    n, sizes = _sizes(data, kind, found[kind][0])
-    out["samples"] = n
-    sizes = np.full(n, sizes, np.int64) if isinstance(sizes, int) else sizes
-    if (x := at(b"stts")) is not None:
-        times = _table(data, x, ">u4", 2).astype(np.int64)
-        out["duration"] = int((times[:, 0] * times[:, 1]).sum())
-    if n:
-        chunks = _table(data, found[b"stco"][0], ">u4") if b"stco" in found else _table(data, found[b"co64"][0], ">u8")
-        places = sample_offsets(chunks.astype(np.int64), _table(data, found[b"stsc"][0], ">u4", 3).astype(np.int64), sizes)
-        if int((places + sizes).max()) > len(data):
+    return chunks[chunk] + before - before[np.minimum(ends - per, len(sizes) - 1)][chunk]
+
+
+@dataclass
+class Track:
+    """What the boxes of one track say. places, sizes: byte ranges of its samples; keys: which of them are keyframes."""
+
+    track_id: int = 0
+    handler: str = ""
+    codec: str = ""
+    timescale: int = 0
+    duration: int = 0
+    places: list[np.ndarray] = field(default_factory=list)
+    sizes: list[np.ndarray] = field(default_factory=list)
+    keys: list[np.ndarray] = field(default_factory=list)
+
+    def add(self, places: np.ndarray, sizes: np.ndarray, keys: np.ndarray, end: int) -> None:
+        if len(sizes) and (int(places.min()) < 0 or int((places + sizes).max()) > end):
             raise Malformed("samples reach past the end")
+        self.places.append(places)
+        self.sizes.append(sizes)
+        self.keys.append(keys)
+
+    @property
+    def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *self.places]), np.concatenate([none, *self.sizes]), np.concatenate([none.astype(bool), *self.keys])
+
+    def shown(self) -> dict:
+        places, sizes, keys = self.ranges
+        found = [{"start": a, "bytes": b} for a, b in zip(places[keys].tolist(), sizes[keys].tolist())]
+        return {"track_id": self.track_id, "handler": self.handler, "codec": self.codec, "timescale": self.timescale, "duration": min(self.duration, (1 << 63) - 1), "samples": len(sizes), "keyframes": found}
+
+
+def _track(data: memoryview, found: dict[bytes, memoryview]) -> Track:
+    out = Track()
+    if (x := found.get(b"tkhd")) is not None:
+        (out.track_id,) = _fields(">I", x, 20 if _fields(">B", x, 0)[0] else 12)
+    if (x := found.get(b"mdhd")) is not None:
+        out.timescale, out.duration = _fields(">IQ", x, 20) if _fields(">B", x, 0)[0] else _fields(">II", x, 12)
+    if (x := found.get(b"hdlr")) is not None:
+        out.handler = _fields(">4s", x, 8)[0].decode("latin-1")
+    if (x := found.get(b"stsd")) is not None and _fields(">I", x, 4)[0]:
+        out.codec = _fields(">4s", x, 12)[0].decode("latin-1")
+    compact = b"stsz" not in found
+    if compact and b"stz2" not in found:
+        return out
+    sizes = _sizes(found[b"stz2" if compact else b"stsz"], compact, len(data))
+    if (x := found.get(b"stts")) is not None and len(sizes):
+        out.duration = sum(n * each for n, each in _table(x, ">u4", 2).tolist())
+    if len(sizes):
+        chunks = _table(found[b"stco"], ">u4") if b"stco" in found else _table(found[b"co64"], ">u8")
+        places = sample_offsets(chunks, _table(found[b"stsc"], ">u4", 3), sizes)
         # without a sync table, every sample is a keyframe
-        keys = _table(data, at(b"stss"), ">u4").astype(np.int64) - 1 if b"stss" in found else np.arange(n)
-        out["keyframes"] = [{"start": a, "bytes": b} for a, b in zip(places[keys].tolist(), sizes[keys].tolist())]
-        out["_ranges"] = (places, sizes)
+        keys = np.ones(len(sizes), bool)
+        if (x := found.get(b"stss")) is not None:
+            numbers = _table(x, ">u4")
+            if len(numbers) and not 1 <= int(numbers.min()) <= int(numbers.max()) <= len(sizes):
+                raise Malformed("a sync sample that there is not")
+            keys[:] = False
+            keys[numbers - 1] = True
+        out.add(places, sizes, keys, len(data))
     return out
 
 
-def tracks(media: bytes) -> list[dict]:
+class _Fragments:
+    """Adds the samples of movie fragments to their tracks."""
+
+    def __init__(self, data: memoryview, known: list[Track], defaults: dict[int, tuple[int, int, int]]):
+        self.data, self.defaults = data, defaults
+        self.of = {t.track_id: t for t in known}
+        self.begin(0)
+
+    def begin(self, at: int) -> None:
+        """moof: a fragment."""
+        self.moof = self.next = at
+        self.track: Track | None = None
+
+    def header(self, x: memoryview) -> None:
+        """tfhd: the track, and where its data and its samples' properties come from."""
+        flags, number = _fields(">II", x, 0)
+        self.track, at, got = self.of.get(number), 8, {}
+        for flag, form in ((0x1, ">Q"), (0x2, ">I"), (0x8, ">I"), (0x10, ">I"), (0x20, ">I")):
+            if flags & flag:
+                (got[flag],) = _fields(form, x, at)
+                at += struct.calcsize(form)
+        duration, size, sync = self.defaults.get(number, (0, 0, 0))
+        self.duration, self.size, self.flags = got.get(0x8, duration), got.get(0x10, size), got.get(0x20, sync)
+        # data begin where the header says, at the fragment, or after those of the track before
+        self.base = self.at = got[0x1] if 0x1 in got else self.moof if flags & 0x20000 else self.next
+
+    def run(self, x: memoryview) -> None:
+        """trun: a run of samples that lie one after another."""
+        if self.track is None:
+            raise Malformed("a fragment of no track")
+        word, n = _fields(">II", x, 0)
+        at = 8
+        if word & 0x1:
+            self.at, at = self.base + _fields(">i", x, at)[0], at + 4
+        first = None
+        if word & 0x4:
+            (first,), at = _fields(">I", x, at), at + 4
+        own = [f for f in (0x100, 0x200, 0x400, 0x800) if word & f]
+        if not own and n * max(self.size, 1) > len(self.data):
+            raise Malformed("samples reach past the end")
+        table = _array(x, at, ">u4", n * len(own)).reshape(n, len(own))
+        column = lambda flag, else_: table[:, own.index(flag)] if flag in own else np.full(n, else_, np.int64)
+        sizes, flags = column(0x200, self.size), column(0x400, self.flags)
+        if first is not None and n:
+            flags = np.concatenate([[first], flags[1:]])
+        places = self.at + np.cumsum(sizes) - sizes
+        self.track.add(places, sizes, flags & 0x10000 == 0, len(self.data))
+        self.track.duration += int(column(0x100, self.duration).sum())
+        self.at = self.next = self.at + int(sizes.sum())
+
+
+def tracks(media: bytes) -> list[Track]:
     data = memoryview(media)
-    out: list[dict[bytes, tuple[int, int]]] = []
-    for path, a, b in walk(data, 0, len(data)):
-        if path == (b"moov", b"trak"):
-            out.append({})
-        elif path[:2] == (b"moov", b"trak"):
-            out[-1].setdefault(path[-1], (a, b))
+    own: list[dict[bytes, memoryview]] = []
+    later: list[Box] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    for x in walk(data):
+        if x.kind == b"trak" and x.parent == b"moov":
+            own.append({})
+        elif x.within:
+            own[-1].setdefault(x.kind, x.body)
+        elif x.kind == b"trex" and x.parent == b"mvex":
+            number, _, duration, size, flags = _fields(">IIIII", x.body, 4)
+            defaults[number] = duration, size, flags
+        elif x.kind in (b"moof", b"tfhd", b"trun"):
+            later.append(x)
     try:
-        return [_track(data, x) for x in out]
-    except (struct.error, ValueError, KeyError, IndexError) as e:
+        out = [_track(data, x) for x in own]
+        fragments = _Fragments(data, out, defaults)
+        for x in later:
+            if x.kind == b"moof":
+                fragments.begin(x.begin)
+            elif x.kind == b"tfhd":
+                fragments.header(x.body)
+            else:
+                fragments.run(x.body)
+    except (struct.error, ValueError, KeyError, IndexError, AttributeError, OverflowError) as e:
         raise Malformed(f"bad sample table: {e}") from e
+    return out
 
 
-def read_samples(media: bytes, track: int = 0) -> bytes:
+def payload(media: bytes, track: Track) -> bytes:
     """The payload of a track: its samples in order."""
-    places, sizes = tracks(media)[track]["_ranges"]
-    out, i = [], 0
+    places, sizes, _ = track.ranges
+    out = []
     # neighbouring samples are sliced together
     breaks = np.flatnonzero(places[1:] != places[:-1] + sizes[:-1]) + 1
-    for i, j in itertools.pairwise([0, *breaks.tolist(), len(places)]):
+    for i, j in itertools.pairwise([0, *breaks.tolist(), len(places)] if len(places) else []):
         out.append(media[int(places[i]) : int(places[j - 1] + sizes[j - 1])])
     return b"".join(out)
 
@@ -227,7 +365,7 @@ def _probe(media: pd.Series) -> pd.DataFrame:
         try:
             if not x:
                 raise Malformed("empty")
-            rows.append(([{k: v for k, v in t.items() if k[0] != "_"} for t in tracks(x)], None))
+            rows.append(([t.shown() for t in tracks(x)], None))
         except Malformed as e:
             rows.append(([], str(e)))
     return pd.DataFrame(rows, columns=["tracks", "error"])
@@ -236,8 +374,9 @@ def _probe(media: pd.Series) -> pd.DataFrame:
 def _digests(media: pd.Series) -> pd.DataFrame:
     rows = []
     for x in media:
-        payload = read_samples(x)
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), "|".join(map(_shown, tracks(x)))))
+        found = tracks(x)
+        body = payload(x, found[0])
+        rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(x), hashlib.sha256(x).hexdigest(), "|".join(_shown(t.shown()) for t in found)))
     return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
@@ -256,7 +395,8 @@ def stored_digests(media: Column) -> Column:
 
 def media_columns(rows: DataFrame, column: str = "media") -> DataFrame:
     """``rows`` with the columns tracks and error in place of the payload."""
-    return rows.withColumn("probed", probe(column)).select(*(c for c in rows.columns if c != column), "probed.*")
+    own = [c for c in rows.columns if c not in (column, "tracks", "error")]
+    return rows.select(*own, probe(column).alias(f"{P}probed")).select(*own, f"{P}probed.*")
 
 
 def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,13 +1,16 @@
 """WARC derivatives: responses become linked metadata and conversion records (operator 4).
 
 For each response record, ``derive`` makes a metadata record (JSON: the source's WARC headers, HTTP status and headers,
-title and links) and a conversion record (plain text of the HTML). Both name the response in WARC-Refers-To and keep
-its target URI, date and payload digest. Record ids follow from content, so a repeated run gives the same records.
+title and links) and, of HTML and plain text, a conversion record (plain text). Both name the response in
+WARC-Refers-To and keep its target URI, date and payload digest. Chunked transfer and gzip or deflate encodings are
+undone; of other encodings and other content there is a metadata record only. A header that occurs several times keeps
+all its values, as a list. Record ids follow from content, so a repeated run gives the same records.
 
 Edge cases: null html is an empty payload and gives an empty text; a null url leaves the target header out; what isn't
 a whole response record (malformed, cut off, of another type, or with a wrong digest) gives one row with an error and
-no record; repeated rows each give their records; texts of any length are read whole; an empty table gives an empty
-result.
+no record; a file that is cut off or malformed gives its whole records and one row with an error; repeated rows each
+give their records, and as ids follow from content there are no ties; texts of any length are read whole; an empty table
+gives an empty result; key columns keep their values, and a key of the name of a derived column is an error.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,15 @@ DATE = "1970-01-01T00:00:00Z"
 
 DERIVED = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_payload_digest string, block_digest string, content_length long, record binary, error string"
 
+#: Bytes that a gzip member is fed at once, and about the most bytes of records in a batch.
+GZIP_STEP, READ_BYTES = 16 << 10, 8 << 20
+
+#: Most bytes that a compressed body may become.
+DECODED_BYTES = 1 << 29
+
+#: Content that has a plain text.
+READABLE = ("text/html", "application/xhtml+xml", "text/plain")
+
 # Elements whose content is no text, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template", "head")
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
@@ -93,19 +107,79 @@ def get(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def members(raw: bytes) -> Iterator[bytes]:
+    """What the gzip members of a file hold. Each member is fed in steps, so that what follows it is not copied for each."""
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        member, out = zlib.decompressobj(31), []
+        try:
+            while not member.eof:
+                if at >= len(raw):
+                    raise Malformed("a gzip member cut off")
+                step = view[at : at + GZIP_STEP]
+                out.append(member.decompress(step))
+                at += len(step)
+        except zlib.error as e:
+            raise Malformed(f"bad gzip member: {e}") from e
+        at -= len(member.unused_data)
+        yield b"".join(out)
+
+
 def split_records(raw: bytes) -> Iterator[bytes]:
     """The records of a file, plain or in gzip members."""
-    if raw[:2] == b"\x1f\x8b":
-        while raw:
-            member = zlib.decompressobj(31)
-            yield from split_records(member.decompress(raw) + member.flush())
-            raw = member.unused_data
-        return
-    at = 0
-    while at < len(raw):
-        _, _, after = parse(raw, at)
-        yield raw[at:after]
-        at = after
+    for part in members(raw) if raw[:2] == b"\x1f\x8b" else (raw,):
+        at = 0
+        while at < len(part):
+            _, _, after = parse(part, at)
+            yield part[at:after]
+            at = after
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body in chunked transfer, put together."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            raise Malformed("bad chunk")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            raise Malformed("chunk cut off")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def decoded(body: bytes, encoding: str) -> bytes | None:
+    """A body without its content encodings; None if one isn't known or doesn't fit, or if over DECODED_BYTES come out."""
+    for name in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
+        if name == "identity":
+            continue
+        if name not in ("gzip", "x-gzip", "deflate"):
+            return None
+        for bits in (31,) if "gzip" in name else (15, -15):  # deflate is sent with and without a header
+            try:
+                stream = zlib.decompressobj(bits)
+                made = stream.decompress(body, DECODED_BYTES)
+            except zlib.error:
+                continue
+            if stream.eof:
+                body = made
+                break
+        else:
+            return None
+    return body
+
+
+def mapping(headers: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Headers by name; one that occurs several times (in any case) has the list of its values."""
+    values: dict[str, list[str]] = {}
+    names: dict[str, str] = {}
+    for k, v in headers:
+        values.setdefault(names.setdefault(k.lower(), k), []).append(v)
+    return {k: v[0] if len(v) == 1 else v for k, v in values.items()}
 
 
 def response(url: str | None, body: bytes, date: str = DATE) -> bytes:
@@ -145,31 +219,43 @@ def derivatives(raw: bytes) -> list[tuple]:
     status, _, rest = block[:cut].partition(b"\r\n")
     version, code, reason = (status.decode("latin-1").split(" ", 2) + ["", ""])[:3]
     http = _headers(rest)
-    payload = block[cut + 4 :]
+    payload = sent = block[cut + 4 :]
+    if "chunked" in (get(http, "Transfer-Encoding") or "").lower():
+        with suppress(Malformed):  # many archives store the body put together under the old header
+            payload = unchunked(sent)
     digest = sha1(payload)
-    for name, found in (("WARC-Payload-Digest", digest), ("WARC-Block-Digest", sha1(block))):
+    for name, found in (("WARC-Payload-Digest", (digest, sha1(sent))), ("WARC-Block-Digest", (sha1(block),))):
         given = get(headers, name)
-        if given and given.startswith("sha1:") and given != found:
+        if given and given.startswith("sha1:") and given not in found:
             raise Malformed(f"wrong {name}")
-    charset = re.search(r"charset=[\"']?([\w-]+)", get(http, "Content-Type") or "")
-    try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+    content = (get(http, "Content-Type") or "text/html").lower()
+    body = decoded(payload, get(http, "Content-Encoding") or "")
+    page, text = "", None
+    if body is not None and content.split(";")[0].strip() in READABLE:
+        charset = re.search(r"charset=[\"']?([\w-]+)", content)
+        try:
+            page = body.decode(charset[1] if charset else "utf-8", "replace")
+        except (LookupError, ValueError):  # not known, or not for such bytes
+            page = body.decode("utf-8", "replace")
+        text = page if content.startswith("text/plain") else plain_text(page)
+    facts = {"HTML-Metadata": page_facts(page)} if text is not None and not content.startswith("text/plain") else {}
     envelope = {
         "Envelope": {
-            "Format": "WARC", "WARC-Header-Metadata": dict(headers), "Block-Digest": get(headers, "WARC-Block-Digest"),
+            "Format": "WARC", "WARC-Header-Metadata": mapping(headers), "Block-Digest": get(headers, "WARC-Block-Digest"),
             "Payload-Metadata": {"HTTP-Response-Metadata": {
-                "Response-Message": {"Version": version, "Status": code, "Reason": reason}, "Headers": dict(http), "Headers-Length": cut + 4,
-                "Entity-Length": len(payload), "Entity-Digest": digest, "HTML-Metadata": page_facts(page)}},
+                "Response-Message": {"Version": version, "Status": code, "Reason": reason}, "Headers": mapping(http), "Headers-Length": cut + 4,
+                "Entity-Length": len(payload), "Entity-Digest": digest, **facts}},
         }
     }
+    made = [("metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode("utf-8", "replace"))]
+    if text is not None:
+        made.append(("conversion", "text/plain", text.encode("utf-8", "replace")))
     out = []
-    for kind, content, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode()), ("conversion", "text/plain", plain_text(page).encode("utf-8", "replace"))):
+    for kind, content, body in made:
         own, block_digest = record_id(kind, source, digest), sha1(body)
         linked = [("WARC-Target-URI", target)] if target else []
-        made = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date or DATE), *linked, ("WARC-Refers-To", source), ("WARC-Source-Payload-Digest", digest), ("WARC-Block-Digest", block_digest), ("Content-Type", content)]
-        out.append((kind, own, source, target, date, digest, block_digest, len(body), build(made, body), None))
+        lines = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date or DATE), *linked, ("WARC-Refers-To", source), ("WARC-Source-Payload-Digest", digest), ("WARC-Block-Digest", block_digest), ("Content-Type", content)]
+        out.append((kind, own, source, target, date, digest, block_digest, len(body), build(lines, body), None))
     return out
 
 
@@ -195,20 +281,37 @@ def responses(url: str | Column, page: str | Column) -> Column:
 def derive(rows: DataFrame, record: str | Column, *keys: str) -> DataFrame:
     """``keys`` and the columns of DERIVED: two rows for each response in ``record``, or one with an error."""
     kind = "array<struct<" + ", ".join(":".join(x.split()) for x in DERIVED.split(",")) + ">>"
+    if clash := {x.split()[0] for x in DERIVED.split(", ")} & set(keys):
+        raise ValueError(f"keys have names of derived columns: {', '.join(sorted(clash))}")
     made = F.pandas_udf(_derive, kind)(record)
     return rows.select(*keys, F.explode(made).alias(f"{P}d")).select(*keys, f"{P}d.*")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path and record of each record in files that Spark can read; one file (under 2 GB) is one task's work."""
+    """path, record and error of files that Spark can read: a row for each whole record, and one with an error and no
+    record where a file can't be read on. One file (under 2 GB) is one task's work."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"]):
-                for record in split_records(raw):
-                    yield pd.DataFrame({"path": [name], "record": [record]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, record binary")
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                held, size = [], 0
+                try:
+                    for record in split_records(raw.as_py() or b""):
+                        held.append((name, record, None))
+                        size += len(record)
+                        if size > READ_BYTES:
+                            yield _rows(held)
+                            held, size = [], 0
+                except Malformed as e:
+                    held.append((name, None, str(e)))
+                yield _rows(held)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary, error string")
+
+
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], ["path", "record", "error"])
 
 
 def gzip_member(record: bytes) -> bytes:

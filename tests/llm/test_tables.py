@@ -542,7 +542,8 @@ def test_containers():
         payload = bytes(i * 7 % 256 for i in range(n * media.FRAME))
         stored = media.mux(payload)
         (track,) = media.tracks(stored)
-        assert media.read_samples(stored) == payload
+        assert media.payload(stored, track) == payload
+        track = track.shown()
         assert (track["codec"], track["handler"], track["samples"], track["duration"]) == ("raw ", "vide", n, n * media.FRAME_TICKS)
         for i, k in enumerate(track["keyframes"]):
             at = i * media.KEYFRAME_EVERY * media.FRAME
@@ -563,12 +564,89 @@ def test_sample_tables():
         moov = media.box(b"moov", media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", stbl))))
         return moov + struct.pack(">I4sQ", 1, b"mdat", 1016) + bytes(1000)
     for size_box in (media.full(b"stsz", struct.pack(">IIIIII", 0, 4, *sizes)), media.full(b"stz2", struct.pack(">II", 4, 4), bytes([0x35, 0x27])), media.full(b"stz2", struct.pack(">II", 16, 4), struct.pack(">4H", *sizes))):
-        (track,) = media.tracks(build(size_box))
+        track = media.tracks(build(size_box))[0].shown()
         assert [(k["start"], k["bytes"]) for k in track["keyframes"]] == [(200, 3), (203, 5), (208, 2), (300, 7)]
         assert (track["codec"], track["timescale"], track["duration"]) == ("avc1", 1000, 70)
 
 
+def fragmented():
+    """A track without samples of its own, and two fragments: sizes by sample, and by default."""
+    import struct
+
+    F_ = media.full
+    trak = media.box(b"trak", F_(b"tkhd", struct.pack(">IIII", 0, 0, 7, 0)), media.box(b"mdia", F_(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), media.box(b"minf", media.box(b"stbl", F_(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(70)))))))
+    head = media.box(b"moov", trak, media.box(b"mvex", F_(b"trex", struct.pack(">IIIII", 7, 1, 40, 6, 0x10000))))
+
+    def moof(size):
+        first = media.box(b"traf", F_(b"tfhd", struct.pack(">I", 7), flags=0x20000), F_(b"trun", struct.pack(">IiI", 3, size + 8, 0), struct.pack(">3I", 4, 5, 6), flags=0x205))
+        return media.box(b"moof", first)
+
+    def plain(size):
+        return media.box(b"moof", media.box(b"traf", F_(b"tfhd", struct.pack(">I", 7), flags=0x20000), F_(b"trun", struct.pack(">Ii", 2, size + 8), flags=0x1)))
+
+    one, two = moof(len(moof(0))), plain(len(plain(0)))
+    return head + one + media.box(b"mdat", b"aaaabbbbbcccccc") + two + media.box(b"mdat", b"ddddddeeeeee")
+
+
+def test_fragments():
+    stored = fragmented()
+    (track,) = media.tracks(stored)
+    assert media.payload(stored, track) == b"aaaabbbbbccccccddddddeeeeee"
+    got = track.shown()
+    assert (got["track_id"], got["samples"], got["duration"], got["codec"]) == (7, 5, 200, "avc1")
+    assert [stored[k["start"] : k["start"] + k["bytes"]] for k in got["keyframes"]] == [b"aaaa"]  # the others aren't sync samples by default
+
+
+def test_malformed_containers():
+    import struct
+
+    stbl = lambda *parts: media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", *parts)))))
+    places = media.full(b"stco", struct.pack(">II", 1, 0)), media.full(b"stsc", struct.pack(">IIII", 1, 1, 9, 1))
+    one = media.full(b"stsz", struct.pack(">II", 4, 3))
+    bad = [
+        stbl(media.full(b"stz2", struct.pack(">II", 0, 4))),  # no such field size
+        stbl(media.full(b"stsz", struct.pack(">II", 1, (1 << 31) - 1)), *places),  # more samples than bytes
+        stbl(media.full(b"stsz", struct.pack(">II", 0, (1 << 32) - 1)), *places),
+        stbl(one, *places, media.full(b"stss", struct.pack(">II", 1, 0))),  # sync samples count from 1
+        stbl(one, *places, media.full(b"stss", struct.pack(">II", 1, 4))),
+        stbl(media.full(b"stsd", struct.pack(">I", 1)), one, *places),  # no entry
+        stbl(one, places[0]),
+        stbl(one, places[0], media.full(b"stsc", struct.pack(">IIIIIII", 2, 1, 1, 1, 1, 1, 1))),
+    ]
+    for x in bad:
+        with pytest.raises(media.Malformed):
+            media.tracks(x)
+    assert media.tracks(stbl(media.full(b"stsd", struct.pack(">I", 0)), one, *places))[0].codec == ""
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    assert media.tracks(deep) == []
+
+
+def test_mutated_containers():
+    rng = random.Random(7)
+    good = [media.mux(bytes(range(192)) * 40), fragmented()]
+    for i in range(10_000):
+        x = bytearray(good[i % 2])
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(min(len(x), 900))
+            if rng.random() < 0.2:
+                del x[at : at + rng.randint(1, 9)]
+            elif rng.random() < 0.5:
+                x[at : at + 4] = rng.choice([b"\0\0\0\0", b"\xff\xff\xff\xff", b"\x7f\xff\xff\xff", b"\0\0\0\1"])
+            else:
+                x[at] = rng.randrange(256)
+        try:
+            shown = [t.shown() for t in media.tracks(bytes(x))]
+        except media.Malformed:
+            continue
+        assert all(0 <= k["start"] <= k["start"] + k["bytes"] <= len(x) for t in shown for k in t["keyframes"])
+
+
 def test_media_columns(spark, docs, empty):
+    clash = spark.createDataFrame([(1, "t", "p", media.mux(b"a" * 192))], "error int, tracks string, probed string, media binary")
+    (got,) = media.media_columns(clash).collect()
+    assert got.asDict().keys() == {"probed", "tracks", "error"} and got["probed"] == "p" and got["tracks"][0]["samples"] == 1
     good = media.mux(b"a" * 192)
     broken = [good, b"", None, good[:100], b"\0\0\0\4free", b"\0\0\0\x08free", good[:24] + b"\xff" * 4 + good[28:]]
     df = spark.createDataFrame([(i, m, "mine") for i, m in enumerate(broken)], "i int, media binary, other string")
@@ -621,4 +699,82 @@ def test_warc_tables(spark, tmp_path):
     assert {r["content_length"] for r in got if r["page_id"] == 2 and r["record_type"] == "conversion"} == {0}
     assert warc.page_derivatives(pages.where("false")).count() == 0
     (tmp_path / "a.warc.gz").write_bytes(warc.gzip_member(good) * 3)
-    assert warc.read_warc(spark, str(tmp_path / "*.warc.gz")).count() == 3
+    (tmp_path / "b.warc.gz").write_bytes((warc.gzip_member(good) * 2)[:-9])
+    (tmp_path / "c.warc.gz").write_bytes(good + b"junk")
+    (tmp_path / "d.warc.gz").write_bytes(b"")
+    got = sorted((r["path"][-9], r["record"] == good, r["error"] is not None) for r in warc.read_warc(spark, str(tmp_path / "*.warc.gz")).collect())
+    assert got == [("a", True, False)] * 3 + [("b", False, True), ("b", True, False), ("c", False, True), ("c", True, False)]
+    with pytest.raises(ValueError):
+        warc.derive(df.withColumn("error", F.lit(1)), "raw", "error")
+
+
+def answer(http, body):
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in http) + b"\r\n" + body
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("WARC-Concurrent-To", "<urn:x:2>"), ("warc-concurrent-to", "<urn:x:3>"), ("WARC-Date", "2020-01-01T00:00:00Z")]
+    return warc.build(headers, block)
+
+
+def test_warc_headers_and_encodings():
+    import gzip
+
+    page = "<title>T</title><p>gr\u00fcn"
+    chunks = lambda x: b"".join(b"%x;a=b\r\n%s\r\n" % (len(c), c) for c in (x[:5], x[5:])) + b"0\r\n\r\n"
+    zipped = gzip.compress(page.encode("latin-1"))
+    kind = ("Content-Type", "text/html; charset=iso-8859-1")
+    made = warc.derivatives(answer([kind, ("Set-Cookie", "a=1"), ("set-cookie", "b=2"), ("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")], chunks(zipped)))
+    assert [x[0] for x in made] == ["metadata", "conversion"]
+    assert warc.parse(made[1][8])[1].decode() == "T\ngr\u00fcn" and made[1][5] == warc.sha1(zipped)
+    envelope = json.loads(warc.parse(made[0][8])[1])["Envelope"]
+    assert envelope["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:x:2>", "<urn:x:3>"]
+    assert envelope["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"]
+    for http, body, want in [
+        ([("Content-Type", "image/png")], b"\x89PNG", None), ([("Content-Encoding", "br")], b"x", None), ([("Content-Encoding", "gzip")], b"no gzip", None),
+        ([("Content-Type", "text/plain")], b"a <b> c", "a <b> c"), ([("Content-Encoding", "deflate")], zlib.compress(b"<p>x"), "x"), ([("Transfer-Encoding", "chunked")], b"<p>put together", "put together"),
+        ([("Content-Type", "text/html; charset=idna")], b"<p>\xff", "\ufffd"),
+    ]:
+        made = warc.derivatives(answer(http, body))
+        texts = [warc.parse(x[8])[1].decode() for x in made if x[0] == "conversion"]
+        assert texts == ([] if want is None else [want]) and made[0][0] == "metadata"
+
+
+def test_gzip_members_take_linear_time():
+    member = warc.gzip_member(warc.response("http://a", random.Random(1).randbytes(8000)))
+    whole = member * (64_000_000 // len(member))
+    began = time.time()
+    assert sum(1 for _ in warc.split_records(whole)) == len(whole) // len(member) and time.time() - began < 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_conversions_hold_a_parser_s_text(spark):
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.out, self.links = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in warc.HIDDEN
+            self.out.append("\n" if tag in warc.BLOCKS else "")
+            self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in warc.HIDDEN
+            self.out.append("\n" if tag in warc.BLOCKS else "")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = warc.derive(pages, warc.responses("url", "html"), "page_id").collect()
+    made = {(r["page_id"], r["record_type"]): r for r in found}
+    assert len(made) == 2 * pages.count()
+    for p in pages.collect():
+        parser = Text()
+        parser.feed(p["html"] or "")
+        parser.close()
+        text, meta = (warc.parse(made[p["page_id"], k]["record"])[1].decode() for k in ("conversion", "metadata"))
+        assert text.split() == "".join(parser.out).split(), p["page_id"]
+        facts = json.loads(meta)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]
+        assert [x["url"] for x in facts["Links"] if x["path"] == "A@/href"] == parser.links
