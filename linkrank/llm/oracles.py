@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import LICENSES, SPELLINGS
+from .licenses import DIGESTS, LICENSES, SPELLINGS, notices
 
 
 def _quoted(text: str) -> str:
@@ -14,17 +14,19 @@ def license_sql() -> str:
     for variant, word in SPELLINGS.items():
         spelled = f"replace({spelled}, ' {variant} ', ' {word} ')"
     marks = (
-        r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b(?: *(?:\(c\)|©|[0-9]| by )| year)|\(c\) |©|all rights reserved)[^\n]*$",
+        r"(?m)^[^\p{L}\p{N}\p{M}\n]*(?:copyright\b(?: *(?:\(c\)|©|[0-9]| by )| year)|\(c\) |©|all rights reserved)[^\n]*$",
         r"(?m)^[ \t]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]",
     )
     body = "lower(coalesce(text, ''))"
     for mark in marks:
         body = f"regexp_replace({body}, {_quoted(mark)}, '', 'g')"
-    body = f"regexp_replace({body}, '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g')"
-    known = " UNION ALL ".join(f"SELECT {_quoted(k)} AS license_id, {_quoted(v)} AS text" for k, v in LICENSES.items())
-    return f"""WITH src AS (SELECT row_number() OVER () AS rid, doc_id, NULL AS license_id, text FROM documents UNION ALL SELECT NULL, NULL, license_id, text FROM ({known})),
+    body = f"regexp_replace({body}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\n]+', '  ', 'g')"
+    texts = [*LICENSES.items(), *((i, t) for t, i in notices().items())]
+    known = "VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in texts)
+    digests = "VALUES " + ", ".join(f"({_quoted(v)}, {_quoted(k)})" for k, v in DIGESTS.items())
+    return f"""WITH src AS (SELECT row_number() OVER () AS rid, doc_id, NULL AS license_id, text FROM documents UNION ALL SELECT NULL, NULL, license_id, text FROM ({known}) AS k(license_id, text)),
  canon AS MATERIALIZED (SELECT rid, doc_id, license_id, list_filter(list_transform(string_split({body}, chr(10)), lambda x: trim({spelled})), lambda x: x <> '') AS lines FROM src),
- known AS MATERIALIZED (SELECT sha256(array_to_string(lines, '  ')) AS digest, min(license_id) AS license_id FROM canon WHERE rid IS NULL GROUP BY 1),
+ known AS MATERIALIZED (SELECT digest, min(license_id) AS license_id FROM (SELECT sha256(array_to_string(lines, '  ')) AS digest, license_id FROM canon WHERE rid IS NULL UNION ALL ({digests})) GROUP BY 1),
  docs AS MATERIALIZED (SELECT rid, doc_id, sha256(array_to_string(lines, '  ')) AS digest, lines FROM canon WHERE rid IS NOT NULL),
  found AS (SELECT rid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids, count(*) AS n FROM (SELECT rid, sha256(unnest(lines)) AS digest FROM docs) JOIN known USING (digest) GROUP BY 1)
  SELECT docs.doc_id, docs.digest AS canonical_sha256, known.license_id, coalesce(ids, '') AS line_license_ids, coalesce(n, 0) AS n_license_lines

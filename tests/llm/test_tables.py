@@ -6,6 +6,7 @@ import json
 import math
 import os
 import random
+import re
 import time
 import zlib
 from fractions import Fraction
@@ -460,7 +461,7 @@ def test_tokens(spark, docs, empty):
 # --- licences ---
 
 
-def test_licenses(spark, empty):
+def test_licenses(spark, empty, monkeypatch):
     mit = licenses.LICENSES["MIT"]
     cases = {
         1: mit.upper().replace("year holder", "2019 Someone"),
@@ -472,14 +473,46 @@ def test_licenses(spark, empty):
     }
     df = spark.createDataFrame(list(cases.items()) + [(5, cases[5])], "doc_id long, text string").withColumn("digest", F.lit("x"))
     known = licenses.known_digests(spark)
-    got = [(r["doc_id"], r["license_id"], list(r["line_license_ids"]), r["n_license_lines"]) for r in licenses.scan_licenses(df, known).collect()]
+    found = lambda out: sorted((r["doc_id"], r["license_id"], list(r["line_license_ids"]), r["n_license_lines"]) for r in out.collect())
+    got = found(licenses.scan_licenses(df, known))
     apache = (5, "Apache-2.0-notice", ["Apache-2.0-notice"], 1)
-    assert sorted(got) == [
+    assert got == [
         (1, "MIT", [], 0), (2, "MIT", [], 0), (3, None, [], 0), (4, None, ["CC-BY-NC-4.0-notice", "MIT-notice"], 3), apache, apache,
         (6, None, [], 0), (7, None, [], 0), (8, None, [], 0)]
     assert licenses.scan_licenses(empty, known).count() == 0
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 3)
+    assert found(licenses.scan_licenses(df, known)) == got
     twice = spark.createDataFrame([("b", "Same text"), ("a", "same, TEXT"), ("c", "")], "license_id string, text string")
     assert [r["license_id"] for r in licenses.known_digests(spark, twice).collect()] == ["a"]
+    marks = spark.createDataFrame([(1, "e\u0301te"), (2, "e te")], "doc_id long, text string")  # a letter with a combining mark is a letter
+    assert len({r["canonical_sha256"] for r in licenses.scan_licenses(marks, known).collect()}) == 2
+
+
+def canonical(text):
+    """A licence's canonical form, step by step on words."""
+    lines = []
+    for line in text.lower().split("\n"):
+        if re.match(r"^[^\w]*(copyright\b( *(\(c\)|©|[0-9]| by )| year)|\(c\) |©|all rights reserved)", line):
+            continue
+        words = re.findall(r"[^\W_]+", re.sub(r"^[ \t]*\(?([0-9]{1,2}|[a-z])[.)][ \t]", "", line))
+        words = [w for x in words for w in licenses.SPELLINGS.get(x, x).split()]
+        lines += ["  ".join(words)] if words else []
+    return hashlib.sha256("  ".join(lines).encode()).hexdigest()
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts")
+def test_whole_licenses(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    rows, want = [], {}
+    for i, (name, license_id) in enumerate(files.items()):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        changed = re.sub(r"\bLICENSE\b", "LICENCE", text.upper().replace("\n", "  \n\n").replace(",", " ;"))
+        rows += [(3 * i, text), (3 * i + 1, "Copyright (c) 2024 Somebody\n" + changed), (3 * i + 2, text + " And more.")]
+        want |= {3 * i: license_id, 3 * i + 1: license_id, 3 * i + 2: None}
+        assert canonical(text) == licenses.DIGESTS[license_id], name
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark)).collect()
+    assert {r["doc_id"]: r["license_id"] for r in out} == want
 
 
 # --- chat ---
