@@ -1,14 +1,19 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns (operator 6).
 
-A record is JSON text. Its fingerprint is the SHA-256 of its sorted nested field paths (array elements as ``[]``).
-A table of layouts maps each known fingerprint to an SQL expression for the turns; optional fields give a layout
-several fingerprints. Turns are written with ``<|im_start|>role\\n text <|im_end|>\\n``. In roles and texts ``\\`` becomes
-``\\\\`` and ``<|`` becomes ``<\\|`` (in roles also a newline ``\\n``), so control strings never occur inside them and
-the way back is exact.
-
-Edge cases: null roles and texts count as empty; a record of an unknown layout gives null turns, never a guess; an
-empty conversation gives an empty string; ties on turn order by role, then text; repeated rows are turns of their own.
-Only built-in functions are used.
+A record is JSON text. Its fingerprint is the SHA-256 of its sorted nested field paths, to any depth: a field's name
+follows that of the one around it after a full stop, elements of lists count as ``[]``, and in names ``\\``, ``.`` and
+``[`` have a ``\\`` before them, so that different schemas have different paths. A table of layouts maps each known
+fingerprint to an SQL expression for the turns; optional fields give a layout several fingerprints. Turns are written
+with ``<|im_start|>role\\n text <|im_end|>\\n``. In roles and texts ``\\`` becomes ``\\\\`` and ``<|`` becomes
+``<\\|`` (in roles also a newline ``\\n``), so control strings never occur inside them and the way back is exact. The
+loss mask is a list of byte ranges of the training text.
+
+Edge cases: null roles and texts count as empty; a record of an unknown layout gives null turns, never a guess; names
+are taken as they are written, so one with a JSON escape is another name; an empty conversation gives an empty string;
+ties on turn order by role, then text; repeated rows are turns of their own; rows with a null conv_id are one
+conversation; an empty table gives an empty result. A conversation is one training text, so it must fit in one row
+(2 GB) whatever the number of its turns. Columns of the names that an operator adds are replaced, all others stay. Only
+built-in functions are used.
 """
 
 from __future__ import annotations
@@ -61,35 +66,53 @@ def layout_fingerprints(layouts=LAYOUTS) -> dict[str, tuple[str, str]]:
     return out
 
 
-def field_paths(record: Column, depth: int = 3) -> Column:
-    """Distinct nested field paths of JSON objects, to ``depth`` levels of objects; list elements count as ``[]``."""
-    value = F.try_parse_json(record)
+#: Tokens of JSON text: names with their colons, strings, brackets. Possessive, so that long strings need no backtracking.
+TOKEN = r'"(?:[^"\\]++|\\.)*+"\s*+:|"(?:[^"\\]++|\\.)*+"|[\[\]{}]'
 
-    def paths(v: Column, prefix: Column, level: int) -> Column:
-        fields = F.try_variant_get(v, "$", "map<string,variant>")
-        keys = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
-        own = F.transform(keys, lambda k: F.concat(prefix, k))
-        if level == 1:
-            return own
-        inner = F.flatten(F.transform(keys, lambda k: below(fields[k], F.concat(prefix, k), level - 1)))
-        return F.concat(own, inner)
 
-    def below(v: Column, path: Column, level: int) -> Column:
-        items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-        return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_distinct(F.flatten(F.transform(items, lambda x: paths(x, F.concat(path, F.lit("[].")), level))))).otherwise(paths(v, F.concat(path, F.lit(".")), level))
+def field_paths(record: Column) -> Column:
+    """Distinct nested field paths of a JSON object, sorted; null if it is no JSON.
 
-    return F.array_sort(F.array_distinct(paths(value, F.lit(""), depth)))
+    The names and brackets of the text are folded with a stack of the paths that are open, so any depth will do, and the
+    fold carries distinct paths only.
+    """
+    tokens = F.filter(F.regexp_extract_all(record, F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith('"') | t.endswith(":"))
+    none = F.array().cast("array<string>")
+    begin = F.struct(none.alias("open"), F.lit("").alias("next"), none.alias("paths"))
+
+    def step(state: Column, token: Column) -> Column:
+        opened, after, paths = state["open"], state["next"], state["paths"]
+        last = F.coalesce(F.get(opened, F.size(opened) - 1), F.lit(""))
+        name = F.regexp_extract(token, r'(?s)^"(.*)"\s*:$', 1)
+        for char in ("\\", ".", "["):
+            name = F.replace(name, F.lit(char), F.lit(f"\\{char}"))
+        path = F.concat(last, name)
+        # what opens is remembered by what its members' paths begin with: objects' end with a full stop, lists' with []
+        begins = F.when(token == "[", F.concat(after, F.lit("[]"))).when(F.size(opened) == 0, F.lit("")).otherwise(F.concat(after, F.lit(".")))
+        closed = F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0)))
+        outer = F.coalesce(F.get(closed, F.size(closed) - 1), F.lit(""))
+        is_name, opens = token.endswith(":"), token.isin("[", "{")
+        return F.struct(
+            F.when(is_name, opened).when(opens, F.array_append(opened, begins)).otherwise(closed).alias("open"),
+            F.when(is_name, path).when(opens, begins).when(outer.endswith("]"), outer).otherwise("").alias("next"),
+            F.when(is_name & ~F.array_contains(paths, path), F.array_append(paths, path)).otherwise(paths).alias("paths"),
+        )
+
+    found = F.aggregate(tokens, begin, step, lambda s: s["paths"])
+    return F.when(F.try_parse_json(record).isNotNull(), F.array_sort(found))
 
 
 def canonical_turns(records: DataFrame, column: str = "record", layouts=LAYOUTS) -> DataFrame:
-    """Adds fingerprint, layout and turns to records of JSON text."""
+    """Adds fingerprint, layout and turns to records of JSON text, in place of columns of these names."""
     known = layout_fingerprints(layouts)
-    out = records.withColumn("fingerprint", F.sha2(F.array_join(field_paths(F.col(column)), "\n"), 256))
+    text, mark = f"{P}record", F.col(f"{P}fingerprint")
+    own = [c for c in records.columns if c not in ("fingerprint", "layout", "turns")]
+    out = records.withColumn(text, F.col(column)).withColumn(f"{P}fingerprint", F.sha2(F.array_join(field_paths(F.col(text)), "\n"), 256))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for mark, (name, expr) in known.items():
-        layout = F.when(F.col("fingerprint") == mark, F.lit(name)).otherwise(layout)
-        turns = F.when(F.col("fingerprint") == mark, F.expr(expr.replace("record", f"`{column}`"))).otherwise(turns)
-    return out.withColumns({"layout": layout, "turns": turns})
+    for fingerprint, (name, expr) in known.items():
+        layout = F.when(mark == fingerprint, F.lit(name)).otherwise(layout)
+        turns = F.when(mark == fingerprint, F.expr(expr.replace("(record,", f"({text},"))).otherwise(turns)
+    return out.select(*own, mark.alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -103,16 +126,25 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame, column: str = "turns", trained: str = "assistant") -> DataFrame:
-    """Adds ``formatted`` (the training text) and ``segments``: its pieces in order, with ``loss`` where it is trained on.
+    """Adds ``formatted`` (the training text) and ``loss`` (the byte ranges of its UTF-8 that are trained on), in place of
+    columns of these names.
 
-    The pieces put together are the training text; the loss mask covers exactly the texts of ``trained`` turns.
+    The mask covers exactly the texts of ``trained`` turns.
     """
     head = lambda t: F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
-    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    segments = F.flatten(F.transform(column, lambda t: F.array(
-        piece(head(t), F.lit(False)), piece(escaped(t["text"]), F.coalesce(t["role"] == trained, F.lit(False))), piece(F.lit(f"{END}\n"), F.lit(False)))))
-    out = turns.withColumn("segments", segments)
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    parts = F.transform(column, lambda t: F.struct(head(t).alias("head"), escaped(t["text"]).alias("text"), F.coalesce(t["role"] == trained, F.lit(False)).alias("loss")))
+    own = [c for c in turns.columns if c not in ("formatted", "loss")]
+    out = turns.select(*own, parts.alias(f"{P}parts"))
+    text = F.array_join(F.transform(f"{P}parts", lambda p: F.concat(p["head"], p["text"], F.lit(f"{END}\n"))), "")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,bytes:int>>").alias("ranges"))
+
+    def step(state: Column, part: Column) -> Column:
+        start = state["at"] + F.octet_length(part["head"])
+        size = F.octet_length(part["text"])
+        own = F.struct(start.alias("start"), size.alias("bytes"))
+        return F.struct((start + size + len(END) + 1).alias("at"), F.when(part["loss"], F.array_append(state["ranges"], own)).otherwise(state["ranges"]).alias("ranges"))
+
+    return out.select(*own, text.alias("formatted"), F.aggregate(f"{P}parts", begin, step, lambda s: s["ranges"]).alias("loss"))
 
 
 def read_back(text: Column) -> Column:
@@ -124,9 +156,10 @@ def read_back(text: Column) -> Column:
         unescaped(F.substring(body(b), F.length(F.substring_index(body(b), "\n", 1)) + 2, F.length(b))).alias("text")))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
+def loss_text(text: Column, loss: Column) -> Column:
+    """All of a training text that its loss mask covers, unescaped."""
+    raw = text.cast("binary")
+    return F.array_join(F.transform(loss, lambda r: unescaped(F.substring(raw, r["start"] + 1, r["bytes"]).cast("string"))), "")
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
@@ -154,7 +187,7 @@ def control_conversation(spark: SparkSession) -> DataFrame:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, fingerprint, layout, turns, segments and the training text of conversations given as rows by turn."""
+    """conv_id, record, fingerprint, layout, turns, the training text and its loss mask of conversations given as rows by turn."""
     return formatted(canonical_turns(conversation_records(rows.select("conv_id", "turn", "role", "text"))))
 
 
@@ -162,7 +195,7 @@ def digests(out: DataFrame) -> DataFrame:
     """What the operator's output reads back as."""
     back = read_back(F.col("formatted"))
     lines = F.array_join(F.flatten(F.transform("back", lambda t: F.array(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), "")
-    out = out.withColumn("back", back).withColumn(f"{P}loss", loss_text(F.col("segments")))
+    out = out.withColumn("back", back).withColumn(f"{P}loss", loss_text(F.col("formatted"), F.col("loss")))
     return out.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
         F.length(f"{P}loss").cast("long").alias("loss_chars"), F.sha2(F.col(f"{P}loss").cast("binary"), 256).alias("loss_sha256"),

@@ -539,6 +539,41 @@ def test_layouts(spark):
     paths = df.where("i = 8").select(chat.field_paths(F.col("record"))).first()[0]
     assert paths == ["other", "other.x", "other.x[].y"]
     assert out[0]["fingerprint"] == chat.fingerprint_of(["messages", "messages[].role", "messages[].content"])
+    odd = chat.canonical_turns(df.withColumns({"layout": F.lit("mine"), "turns": F.lit(1), "fingerprint": F.lit(2)}).withColumnRenamed("record", "messages"), "messages")
+    assert odd.columns == ["i", "messages", "fingerprint", "layout", "turns"]
+    assert {r["i"]: r["fingerprint"] for r in odd.collect()} == {i: r["fingerprint"] for i, r in out.items()}
+
+
+def paths_of(value, path=""):
+    if isinstance(value, dict):
+        for k, v in value.items():
+            name = path + re.sub(r"[\\.\[]", lambda m: "\\" + m[0], k)
+            yield name
+            yield from paths_of(v, name + ".")
+    elif isinstance(value, list):
+        for v in value:
+            yield from paths_of(v, path.removesuffix(".") + "[].")
+
+
+def test_paths_of_any_depth(spark):
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.random()
+        if depth and kind < 0.5:
+            return {rng.choice(["a", "b.c", "d[]", "e\\f", "", "[", "]{", "a:"]): made(depth - 1) for _ in range(rng.randint(0, 3))}
+        if depth and kind < 0.75:
+            return [made(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([1, None, True, "x", '{"q": [1]}', 'a": "b', "\\", "é\n"])
+
+    values = [made(7) if i % 2 else {"a": made(7)} for i in range(300)] + [{"a": {"b": {"c": {"d": 1}}}}, {"a": {"b": {"c": {"e": 1}}}}, {"a.b": 1}, {"a": {"b": 1}}]
+    df = spark.createDataFrame([(i, json.dumps(v, ensure_ascii=False, indent=rng.choice([None, 1]))) for i, v in enumerate(values)], "i int, record string")
+    got = {r["i"]: r["p"] for r in df.select("i", chat.field_paths(F.col("record")).alias("p")).collect()}
+    unescape = lambda v: {(json.dumps(k, ensure_ascii=False)[1:-1]): unescape(x) for k, x in v.items()} if isinstance(v, dict) else [unescape(x) for x in v] if isinstance(v, list) else v  # noqa: E731  names as written
+    for i, v in enumerate(values):
+        assert got[i] == sorted(set(paths_of(unescape(v)))), v
+    marks = [chat.fingerprint_of(got[i]) for i in range(300, 304)]
+    assert len(set(marks)) == 4
 
 
 def test_format_round_trip(spark):
@@ -563,7 +598,12 @@ def test_format_round_trip(spark):
         loss = "".join(x for *_, r, x in turns if r == "assistant")
         assert (out[c]["n_turns"], out[c]["turns_sha256"]) == (len(turns), hashlib.sha256(text.encode()).hexdigest())
         assert (out[c]["loss_chars"], out[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert all("".join(s["text"] for s in r["segments"]) == r["formatted"] for r in made.collect())
+    for r in made.collect():
+        raw = r["formatted"].encode()
+        covered = [raw[x["start"] : x["start"] + x["bytes"]].decode() for x in r["loss"]]
+        assert covered == [t["text"].replace("\\", "\\\\").replace("<|", "<\\|") for t in r["turns"] if t["role"] == "assistant"]
+    odd = made.select("conv_id", "turns", F.lit("mine").alias("loss"), F.lit("too").alias("formatted"))
+    assert chat.formatted(odd).columns == ["conv_id", "turns", "formatted", "loss"]
     assert chat.digests(chat.format_conversations(df.where("false"))).count() == 0
 
 
