@@ -10,8 +10,9 @@ after bounded lookahead. States are made when first reached and kept, up to a bo
 Pieces matched by the split pattern are encoded separately; a piece that is a token is that token.
 
 Edge cases: null texts count as empty and have no tokens; texts of any length are read whole; special tokens' strings
-are ordinary text; repeated rows each give a row; an empty table gives an empty result. Decoding bytes that are not
-UTF-8 gives U+FFFD as Python's "replace" does.
+are ordinary text; of equal ranks none occurs twice, and where merges tie the leftmost goes first; repeated rows each
+give a row; an empty table gives an empty result; a column of the name of the result is replaced, all others stay.
+Decoding bytes that are not UTF-8 gives U+FFFD as Python's "replace" does.
 """
 
 from __future__ import annotations
@@ -275,7 +276,7 @@ class Tokenizer:
 
     def encode(self, docs: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         """``docs`` without ``text`` and with the token ids as an array."""
-        get, names = self._worker(), [c for c in docs.columns if c != text]
+        get, names = self._worker(), [c for c in docs.columns if c not in (text, out)]
         schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +313,7 @@ class Tokenizer:
 
     def decode(self, rows: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:
         """``rows`` without ``ids`` and with their text; null ids give an empty text."""
-        get, names = self._worker(), [c for c in rows.columns if c != ids]
+        get, names = self._worker(), [c for c in rows.columns if c not in (ids, out)]
         schema = T.StructType([*(rows.schema[c] for c in names), T.StructField(out, T.StringType(), False)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

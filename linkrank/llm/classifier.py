@@ -9,8 +9,10 @@ The sample is bounded (TRAIN_DOCS labelled texts in hash order). Rows with crc32
 training, those with 4 calibrate, the others fit. Only texts are inputs of a score.
 
 Edge cases: null texts count as empty; empty texts get the score of their (zero) statistics; without labels of both
-kinds every score is 0.5; equal texts have equal scores; repeated rows each give a row; an empty table gives an empty
-result.
+kinds every score is 0.5; where the calibration rows have one label only, the fitted rows calibrate; equal texts have
+equal scores, and texts whose chances tie are ordered by their ridge scores; texts of any length are read whole; repeated
+rows each give a row; an empty table gives an empty result; only texts and ids are read, so other columns may have any
+names and keep their values.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ asked for; the greedy cuts at that capacity are the shards. The driver holds sum
 single groups just where a cut falls.
 
 Edge cases: a null text counts as empty (size 1); an empty table gives an empty result; repeated rows stay rows of
-one group; a group larger than an equal share sets the capacity. Shards may be empty when there are few groups.
+one group; a group larger than an equal share sets the capacity; of equally good cuts the greedy ones count, and slots of
+rows with one id go by their text's digest; texts of any length count whole; shards may be empty when there are few
+groups; only texts and ids are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ no link.
 
 Edge cases: a null or empty text has the fingerprint zero and is linked like any other; texts with fewer words than a
 shingle are one shingle; equal texts share a fingerprint; repeated rows each give a row; null ids are never a
-component's id unless it has no other; an empty table gives an empty result.
+component's id unless it has no other; texts of any length are read whole; an empty table gives an empty result; only
+texts and ids are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -456,6 +456,28 @@ def test_tokens(spark, docs, empty):
     digests = {r["doc_id"]: r["decoded_sha256"] for r in made.round_trip(docs).collect()}
     assert all(digests[i] == hashlib.sha256((t or "").encode()).hexdigest() for i, t, *_ in rows())
     assert made.round_trip(empty).count() == 0 and made.encode(empty).count() == 0
+    odd = docs.withColumn("ids", F.lit("mine"))  # a column of the result's name is replaced
+    assert made.encode(odd).columns == coded.columns and made.encode(odd).where(F.size("ids") > 0).count() == coded.where(F.size("ids") > 0).count()
+    assert made.decode(coded.select("ids", F.lit("mine").alias("text"))).where("text = 'mine'").count() == 0
+    assert made.round_trip(odd.withColumn("n_tokens", F.lit("mine"))).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def clashing(docs):
+    """Extra columns with the names that operators work with or return."""
+    names = "score predicted held_out shard slot size law digest fingerprint component_id uid p node n lines kept v same parts hits license_id ids tracks x y"
+    return docs.withColumns({c: F.lit("mine") for c in names.split()})
+
+
+def test_clashing_columns(spark, docs, labels):
+    odd = clashing(docs)
+    for run in (lambda d: classifier.scored(d, labels), lambda d: rules.judged(d, labels), lambda d: sharding.shard_documents(d, 4), simhash.near_duplicates,
+                media.text_media, lambda d: licenses.scan_licenses(d, licenses.known_digests(spark))):
+        plain, got = run(docs), run(odd)
+        assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    for run in (lambda d: classifier.kept(d, labels), lambda d: rules.kept(d, labels), simhash.deduplicated, mixing.mixed):
+        got = run(odd)
+        assert got.columns == odd.columns and sorted(key(r[:5]) for r in got.collect()) == sorted(key(r[:5]) for r in run(docs).collect())
+        assert got.where("score <> 'mine' OR shard <> 'mine' OR p <> 'mine'").count() == 0
 
 
 # --- licences ---
