@@ -592,7 +592,7 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Near copies: (each distinct text's digest, uid, least doc_id, its rows with that doc_id; uid and root of linked ones).
+    """Near copies: (each distinct text's digest, uid, least doc_id, its rows with that doc_id and its rows; uid and root of linked ones).
 
     Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
@@ -612,8 +612,8 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     # of equal texts one row's uid counts
     rows = light.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "same", "size", "p")).alias("x"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    groups = rows.groupBy("digest").agg(F.min(F.struct(order.alias("order"), "n")).alias("least"), F.min("x").alias("x"))
-    groups = stored(groups.select("digest", F.col("least.order.doc_id").alias("first"), F.col("least.n").alias("n"), "x.*"))
+    groups = rows.groupBy("digest").agg(F.min(F.struct(order.alias("order"), "n")).alias("least"), F.sum("n").alias("rows"), F.min("x").alias("x"))
+    groups = stored(groups.select("digest", F.col("least.order.doc_id").alias("first"), F.col("least.n").alias("n"), "rows", "x.*"))
     # equal sets: all are linked to the least, which alone is compared with others
     least = groups.groupBy("same").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("several")).where("several > 1")
     found = stored(groups.join(least, "same").where("a < uid").select("a", F.col("uid").alias("b")))
@@ -674,11 +674,15 @@ def deduplicated(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     order = F.struct(F.col("first").isNull(), F.col("first"), F.col("digest"))
     least = members.groupBy("root").agg(F.min(order).alias("least"))
     gone = members.join(least, "root").where(order != F.col("least")).select(F.col("uid").alias(f"{P}gone"))
-    stays = groups.join(gone, F.col("uid") == F.col(f"{P}gone"), "left_anti")
-    stays = stored(stays.select(F.col("first").alias(f"{P}first"), F.col("digest").alias(f"{P}digest"), F.col("n").alias(f"{P}n")))
+    # most texts are of one row that stays; only the others are looked up
+    looked = groups.join(gone, F.col("uid") == F.col(f"{P}gone"), "left").where((F.col("rows") > 1) | F.col(f"{P}gone").isNotNull())
+    looked = stored(looked.select(F.col("digest").alias(f"{P}digest"), F.col("first").alias(f"{P}first"), F.col("n").alias(f"{P}n"), f"{P}gone"))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    found = docs.join(stays, digest.eqNullSafe(F.col(f"{P}digest")) & F.col(key).eqNullSafe(F.col(f"{P}first")))
+    found = docs.join(_few(looked, looked.count()), digest == F.col(f"{P}digest"), "left")
+    found = found.where(F.col(f"{P}digest").isNull() | (F.col(f"{P}gone").isNull() & F.col(key).eqNullSafe(F.col(f"{P}first"))))
+    if not looked.where(F.col(f"{P}n") > 1).limit(1).count():
+        return found.select(*docs.columns)
     # rows that repeat id and text in full: only texts with several such rows can have them
-    once = found.where(F.col(f"{P}n") == 1).select(*docs.columns)
+    once = found.where(F.coalesce(f"{P}n", F.lit(1)) == 1).select(*docs.columns)
     more = found.where(F.col(f"{P}n") > 1).dropDuplicates([f"{P}digest"]).select(*docs.columns)
     return once.unionByName(more)
