@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Markup patterns, in the order in which they apply. Java syntax; (?d): only \n ends a line.
+#: What marks a link while it is rewritten. Such characters can't be in XML.
+TARGET, NAME, LABEL, LINK_END = "\x01", "\x02", "\x03", "\x04"
+
+# Markup patterns. Java syntax; (?d): only \n ends a line, (?U) and (?u): classes and case of Unicode.
 COMMENT = r"(?s)<!--.*?-->"
 FOOTNOTE = r"(?isu)<ref[^>/]*>.*?</ref>|<ref[^/]*/>"
 WIKI_TABLE = r"(?s)\{\|.*?\|\}"
 MEDIA_LINK = r"(?iu)\[\[(?:File|Image|Category):[^\]]*\]\]"
-FOREIGN_LINK = r"\[\[(?!(?i:w|wikipedia):)[^\]|#:]*:[^\]|#]*(?:#[^\]|]*)?(?:\|[^\]]+)?\]\]"
-LABELLED_LINK = r"\[\[[^\]|#]+(?:#[^\]|]*)?\|([^\]]+)\]\]"
-BARE_LINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?\]\]"
+LINK = r"\[\[(?:((?!(?i:w|wikipedia):)[^\]|#:]*:[^\]|#]*)|([^\]|#]+))(?:#[^\]|]*)?(?:\|([^\]]+))?\]\]"
 WEB_LINK = r"(?U)\[https?://[^\s\]\x1c-\x1f]+[\s\x1c-\x1f]*([^\]]*)\]"
 HEADING = r"(?dU)={2,}[\s\x1c-\x1f]*(.*?)[\s\x1c-\x1f]*={2,}"
 LIST_MARK = r"(?md)^[*#;:]+"
@@ -24,49 +26,59 @@ ENTITY = r"(?iu)&(?:nbsp|amp|lt|gt|quot|apos);"
 EMPHASIS = r"(?iU)'{2,}|__\w+__"
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"[A-Za-z0-9]{2,}"
-ANY_LINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|([^\]]+))?\]\]"  # Python syntax, as the next ones
+
+#: The cleaner's steps in their order: name, pattern and replacement, or name and the two ends of what goes.
+STEPS: tuple[tuple[str, ...], ...] = (
+    ("comments", COMMENT, " "), ("footnotes", FOOTNOTE, " "), ("tables", WIKI_TABLE, " "), ("templates", "{{", "}}"), ("nested_tables", "{|", "|}"), ("media_links", MEDIA_LINK, " "),
+    # a link becomes a mark, its foreign or own target, and its label; then foreign ones go, and the label or the target stays
+    ("links", LINK, f"{TARGET}$1{NAME}$2{LABEL}$3{LINK_END}"), ("foreign_links", rf"{TARGET}[^{NAME}]+{NAME}[^{LINK_END}]*{LINK_END}", " "),
+    ("link_labels", rf"{TARGET}{NAME}[^{LABEL}]*{LABEL}([^{LINK_END}]+){LINK_END}", "$1"), ("link_targets", rf"{TARGET}{NAME}([^{LABEL}]*){LABEL}{LINK_END}", "$1"),
+    ("web_links", WEB_LINK, "$1"), ("headings", HEADING, "$1"), ("list_marks", LIST_MARK, " "), ("tags", TAG, " "), ("entities", ENTITY, " "), ("emphasis", EMPHASIS, " "), ("blanks", BLANKS, " "),
+)
+BALANCED = ("templates", "nested_tables")
+
+#: Pieces that a fold keeps apart before it puts them together.
+PIECES = 64
 
 
 def without_balanced(text: Column, start: str, end: str) -> Column:
     """Text outside of balanced pairs. A stray end stays; an unclosed start takes the rest with it.
 
-    The tokens are folded with a depth counter. Each token that stays is kept with the depth before it, so the fold
-    carries numbers only.
+    The tokens are folded with a depth counter. What stays is put together after each PIECES tokens, so that a step
+    copies few references, and time is in proportion to the number of tokens for articles of any length.
     """
     a, b = re.escape(start), re.escape(end)
     chars = "".join(sorted(set(start + end)))
     inside = "".join("\\" + c for c in chars)
     tokens = F.regexp_extract_all(text, F.lit(rf"{a}|{b}|[^{inside}]++|[{inside}]"), F.lit(0))
-    begin = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.lit(0).alias("depth"), none.alias("done"), none.alias("kept"))
 
     def step(state: Column, token: Column) -> Column:
-        depth, kept = state["depth"], state["kept"]
+        depth, done, kept = state["depth"], state["done"], state["kept"]
         opens, closes = token == start, (token == end) & (depth > 0)
+        stays, many = ~opens & ~closes & (depth == 0), F.size(kept) >= PIECES
         return F.struct(
             F.when(opens, depth + 1).when(closes, depth - 1).otherwise(depth).alias("depth"),
-            F.when(~opens & ~closes & (depth == 0), F.concat(kept, F.array(token))).otherwise(kept).alias("kept"),
+            F.when(stays & many, F.array_append(done, F.array_join(kept, ""))).otherwise(done).alias("done"),
+            F.when(stays & many, F.array(token)).when(stays, F.array_append(kept, token)).otherwise(kept).alias("kept"),
         )
 
-    folded = F.aggregate(tokens, begin, step, lambda s: F.array_join(s["kept"], ""))
+    folded = F.aggregate(tokens, begin, step, lambda s: F.array_join(F.concat(s["done"], s["kept"]), ""))
     # most texts have no pair at all
     return F.when(F.contains(text, F.lit(start)), folded).otherwise(text)
 
 
-def clean_wikitext(text: Column) -> Column:
-    """Plain text of wiki markup, with built-in functions only.
+def cleaning_step(text: Column, name: str) -> Column:
+    """One of STEPS."""
+    _, pattern, into = next(s for s in STEPS if s[0] == name)
+    return without_balanced(text, pattern, into) if name in BALANCED else F.regexp_replace(text, pattern, into)
 
-    The balanced folds copy what they keep for each token; for articles with thousands of templates take
-    ``clean_wikitext_exact``, which also reads nested brackets in one pass.
-    """
-    blank = lambda t, pattern: F.regexp_replace(t, pattern, " ")
-    for pattern in (COMMENT, FOOTNOTE, WIKI_TABLE):
-        text = blank(text, pattern)
-    text = without_balanced(without_balanced(text, "{{", "}}"), "{|", "|}")
-    text = blank(blank(text, MEDIA_LINK), FOREIGN_LINK)
-    for pattern in (LABELLED_LINK, BARE_LINK, WEB_LINK, HEADING):
-        text = F.regexp_replace(text, pattern, "$1")
-    for pattern in (LIST_MARK, TAG, ENTITY, EMPHASIS, BLANKS):
-        text = blank(text, pattern)
+
+def clean_wikitext(text: Column) -> Column:
+    """Plain text of wiki markup, with built-in functions only."""
+    for name, *_ in STEPS:
+        text = cleaning_step(text, name)
     return F.trim(text)
 
 
@@ -83,30 +95,26 @@ def outside(text: str, start: str, end: str) -> str:
     return "".join(kept)
 
 
-def _link(m: re.Match) -> str:
-    prefix, colon, _ = m[1].partition(":")
-    return " " if colon and prefix.lower() not in ("w", "wikipedia") else m[2] or m[1]
+def _python_step(name: str, pattern: str, into: str) -> Callable[[str], str]:
+    """A step on Python strings. Python's classes and case are those of Unicode, and only \\n ends a line, without flags."""
+    if name in BALANCED:
+        return lambda text: outside(text, pattern, into)
+    compiled = re.compile(re.sub(r"^\(\?([a-zA-Z]+)\)", lambda m: f"(?{kept})" if (kept := re.sub("[dUu]", "", m[1])) else "", pattern))
+    template = re.sub(r"\$(\d)", r"\\g<\1>", into)
+    return lambda text: compiled.sub(template, text)
 
 
-_FIRST = [re.compile(p) for p in (COMMENT, r"(?is)<ref[^>/]*>.*?</ref>|<ref[^/]*/>", WIKI_TABLE)]
-_LINKS = ((re.compile(ANY_LINK), _link), (re.compile(r"\[https?://[^\s\]]+\s*([^\]]*)\]"), r"\1"), (re.compile(r"={2,}\s*(.*?)\s*={2,}"), r"\1"))
-_LAST = [re.compile(p) for p in (r"(?m)^[*#;:]+", TAG, r"(?i)&(?:nbsp|amp|lt|gt|quot|apos);", r"(?i)'{2,}|__\w+__")]
+_PYTHON_STEPS = [_python_step(*s) for s in STEPS]
 
 
 def clean_one(text: str) -> str:
-    for pattern in _FIRST:
-        text = pattern.sub(" ", text)
-    text = outside(outside(text, "{{", "}}"), "{|", "|}")
-    text = re.sub(r"(?i)\[\[(?:File|Image|Category):[^\]]*\]\]", " ", text)
-    for pattern, into in _LINKS:
-        text = pattern.sub(into, text)
-    for pattern in _LAST:
-        text = pattern.sub(" ", text)
-    return " ".join(text.split())
+    for step in _PYTHON_STEPS:
+        text = step(text)
+    return text.strip(" ")
 
 
 def clean_wikitext_exact(text: Column) -> Column:
-    """``clean_wikitext`` by a Pandas UDF: links are read in one pass, time is linear in the number of templates."""
+    """``clean_wikitext`` by a Pandas UDF, with Python's regular expressions."""
     return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else clean_one(x)), "string")(text)
 
 
@@ -120,11 +128,11 @@ def word_count(text: Column) -> Column:
 
 
 def shingles(tokens: Column, size: int = 3) -> Column:
-    """Distinct runs of ``size`` words; of fewer words, the distinct words."""
+    """Distinct runs of ``size`` words, sorted; of fewer words, the distinct words."""
 
     def runs(words: Column) -> Column:
         joined = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-        return F.array_distinct(F.when(F.size(words) < size, words).otherwise(joined))
+        return F.array_sort(F.array_distinct(F.when(F.size(words) < size, words).otherwise(joined)))
 
     # bound to a variable, the words are made once and not for each run
     return F.get(F.transform(F.array(tokens), runs), F.lit(0))

@@ -60,16 +60,50 @@ def graph_stats(node_degrees: DataFrame, links: DataFrame) -> DataFrame:
 STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles by linear interpolation between the values at two ranks.
+
+    Equal values are counted first, then numbered by ranges, so no task holds all values, however many there are.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sum(counted, "v", "n", "last")
+    total = ranked.agg(F.sum("n")).first()[0]
+    if not total:
+        return [None] * len(shares)
+    places = [q * (total - 1) for q in shares]
+    wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})
+    hit = F.filter(F.array(*map(F.lit, wanted)), lambda w: (w < F.col("last")) & (w >= F.col("last") - F.col("n")))
+    at = {w: float(r["v"]) for r in ranked.withColumn("w", hit).where(F.size("w") > 0).select("v", "w").collect() for w in r["w"]}
+    return [(1 - (p - int(p))) * at[int(p)] + (p - int(p)) * at[min(int(p) + 1, total - 1)] for p in places]
+
+
 def describe(df: DataFrame, *columns: str) -> DataFrame:
     """statistic and one column for each of ``columns``: exact quartiles by linear interpolation, sample deviation."""
-    made = [
-        F.array(*(x.cast("double") for x in (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), *(F.percentile(c, F.lit(q)) for q in (0.25, 0.5, 0.75)), F.max(c)))).alias(c)
-        for c in columns
-    ]
+    made = []
+    for c in columns:
+        middle = [F.lit(x) for x in quantiles(df, c, (0.25, 0.5, 0.75))]
+        made.append(F.array(*(x.cast("double") for x in (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), *middle, F.max(c)))).alias(c))
     names = F.array(*map(F.lit, STATISTICS)).alias("statistic")
     return df.agg(*made).select(F.explode(F.arrays_zip(names, *columns)).alias("z")).select("z.statistic", *(f"z.{c}" for c in columns))
 
 
+def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows up to this one in ``order``, which must name each row uniquely.
+
+    As in ``global_rank``, each range adds up its own rows, and ranges are shifted by the sums of those before.
+    """
+    from ..session import checkpointed
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = checkpointed(ranged.withColumn("__sum", F.sum(value).over(inside)))
+    sums = summed.groupBy("__part").agg(F.sum(value).alias("__own"))  # as many rows as partitions
+    before = F.sum("__own").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sums.select("__part", F.coalesce(before, F.lit(0)).alias("__shift"))
+    return summed.join(F.broadcast(shift), "__part").withColumn(out, F.col("__shift") + F.col("__sum")).drop("__part", "__sum", "__shift")
+
+
 def global_rank(df: DataFrame, *order: Column, out: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds ``out``: 1, 2, 3 ... over all rows in ``order``, which must name each row uniquely.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, static_plans
+from ..session import checkpointed, forgotten, static_plans
 from .graph import degrees, global_rank
 
 
@@ -32,8 +32,8 @@ def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
 
     Nodes and edges are partitioned by (source) page once. A step joins them where they lie, adds up by target in each
     task, and shuffles these partial sums to the nodes: one exchange, which hot targets don't skew. The new vector goes
-    to the shared folder, so no step is computed twice and a lost executor costs one step. One action gives the change
-    and the next step's dangling mass.
+    to the shared folder, so no step is computed twice and a lost executor costs one step; the one before it is deleted.
+    One action gives the change and the next step's dangling mass.
     """
     if max_iterations < 1:
         raise ValueError("one iteration at least")
@@ -50,7 +50,7 @@ def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
         weighted = inner.repartition(parts, "source_page_id").join(sources, "source_page_id")
         weighted = checkpointed(weighted.select("source_page_id", "target_page_id", "out_degree"))
         ranks = nodes.select("page_id", "out_degree", F.lit(1.0 / n).alias("pagerank"))
-        dangling = nodes.where("out_degree = 0").count() / n
+        dangling, last = nodes.where("out_degree = 0").count() / n, None
         for step in range(1, max_iterations + 1):
             old = ranks.select(F.col("page_id").alias("source_page_id"), F.col("pagerank").alias("r"))
             sent = weighted.join(old, "source_page_id").groupBy(F.col("target_page_id").alias("page_id")).agg(F.sum(F.col("r") / F.col("out_degree")).alias("sent"))
@@ -63,6 +63,9 @@ def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
             seen = new.agg(change, loose).first()
             dangling = seen["dangling"]
             ranks = new.drop("before")
+            if last is not None:
+                forgotten(last)
+            last = new
             if seen["change"] < tolerance:
                 break
     return Ranking(ranks.select("page_id", "pagerank"), step, float(seen["change"]))

@@ -63,3 +63,9 @@ def percentile_line(bins: DataFrame) -> DataFrame:
 
 def scatter(pairs: DataFrame) -> DataFrame:
     return pairs.select("group_name", "jaccard_exact", "jaccard_minhash")
+
+
+def binned_scatter(points: DataFrame, bins: int = 100) -> DataFrame:
+    """The points by cells of a grid, with their number n: ``bins`` squared rows a group at most, whatever that of pairs."""
+    cell = lambda c: ((F.floor(F.least(F.col(c) * bins, F.lit(bins - 1))) + 0.5) / bins).alias(c)
+    return points.groupBy("group_name", cell("jaccard_exact"), cell("jaccard_minhash")).agg(F.count(F.lit(1)).alias("n"))

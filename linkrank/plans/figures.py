@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import math
 from collections import defaultdict
 
 
@@ -43,9 +44,10 @@ def _line(axes, rows: list[dict]) -> None:
 def _scatter(axes, rows: list[dict]) -> None:
     by = defaultdict(list)
     for r in rows:
-        by[r["group_name"]].append((r["jaccard_exact"], r["jaccard_minhash"]))
+        by[r["group_name"]].append((r["jaccard_exact"], r["jaccard_minhash"], 4 + 4 * math.log(r["n"])))
     for name, points in sorted(by.items()):
-        axes.scatter(*zip(*points), s=4, label=name)
+        x, y, sizes = zip(*points)
+        axes.scatter(x, y, s=sizes, label=name)
     axes.set(title="MinHash against exact similarity", xlabel="Exact", ylabel="MinHash")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.reports import QUESTIONS
 from ..operators.similarity import BINS, EDGES
+from . import markup, roundtrips
 from .adapter import CATEGORIES, oracle_tables
 from .queries import DIGITS, GROUP_SIZE, ITERATIONS, PERMUTATIONS, SEED
 
@@ -111,6 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "token_counts": _with("SELECT page_id, word_count FROM dw", "dw"),
         "articles_clean": _with("SELECT page_id, title, clean_text, word_count, page_len FROM ar", "ar"),
         "shingle_counts": _with("SELECT page_id, CAST(len(shingles) AS BIGINT) AS num_shingles FROM sh", "sh"),
+        "shingle_lists": _with("SELECT page_id, md5(array_to_string(list_sort(shingles), '|')) AS shingles_md5 FROM sh", "sh"),
         "shingles_exploded": _with("SELECT page_id, unnest(shingles) AS shingle FROM sh", "sh"),
         "sample_md5": _with(f"SELECT page_id, title FROM pc ORDER BY {_ORDER} LIMIT {GROUP_SIZE}", "pc"),
         **{f"groups_{x}": _with(f"SELECT {_GROUP} FROM g_{x}", f"g_{x}") for x in ("top", "bottom", "median", "random", "category")},
@@ -130,5 +132,6 @@ def oracle_sql() -> dict[str, str]:
         "box_jaccard": _with(f"SELECT group_name, {_round('q1 median q3')}, round(min(jaccard_exact) FILTER (WHERE {_INNER}), 10) AS whisker_low, round(max(jaccard_exact) FILTER (WHERE {_INNER}), 10) AS whisker_high FROM pj JOIN (SELECT group_name, quantile_cont(jaccard_exact, 0.25) AS q1, quantile_cont(jaccard_exact, 0.5) AS median, quantile_cont(jaccard_exact, 0.75) AS q3 FROM pj GROUP BY 1) q USING (group_name) GROUP BY group_name, q1, median, q3", "pj"),
         "percentile_line": _with("SELECT CAST(bin_idx AS INTEGER) AS bin_idx, percentile_bin, round(mean_similarity, 10) AS mean_similarity FROM bs2", "bs2"),
         "scatter_jaccard": _with(f"SELECT group_name, {_round('jaccard_exact jaccard_minhash')} FROM pp", "pp"),
-        "strip_balanced": "SELECT doc_id AS page_id, concat(' == Head ==\n* ''''''', source, ''''''' [[Target|label]] [[bare]] <ref>note</ref> {| cell |}\n', text) AS stripped FROM documents WHERE text NOT LIKE '%{%' AND text NOT LIKE '%}%'",
+        **{name: _with(sql, *needs) for name, (sql, *needs) in roundtrips.ORACLES.items()},
+        **markup.oracle_sql(),
     }

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..config import Layout, Params
 from ..operators import articles as A
@@ -19,6 +19,7 @@ from ..operators import pagerank as R
 from ..operators import reports as X
 from ..operators import similarity as S
 from ..sources import files, sqldump, xmldump
+from ..streaming import ingest
 from . import figures
 
 PAGES_XML = "pages-articles.xml.bz2"
@@ -27,11 +28,11 @@ PAGES_XML = "pages-articles.xml.bz2"
 class Run:
     """One run's settings, and its stages by name."""
 
-    def __init__(self, spark: SparkSession, layout: Layout, params: Params | None = None, *, force: bool = False, exact_text: bool = False, strict_xml: bool = False, limit: int | None = None, min_articles: int = 1, compression: str = "snappy", rows_per_file: int = 0, prefix: str = ""):
+    def __init__(self, spark: SparkSession, layout: Layout, params: Params | None = None, *, force: bool = False, exact_text: bool = False, strict_xml: bool = False, limit: int | None = None, min_articles: int = xmldump.MIN_ARTICLES, resume: bool = False, compression: str = "snappy", rows_per_file: int = 0, prefix: str = ""):
         self.spark, self.layout, self.params = spark, layout, params or Params()
         self.force, self.exact_text, self.strict_xml, self.limit, self.min_articles = force, exact_text, strict_xml, limit, min_articles
         self.options = {"compression": compression, "rows_per_file": rows_per_file}
-        self.prefix = prefix
+        self.prefix, self.resume = prefix, resume
 
     def table(self, name: str) -> DataFrame:
         """A table that another stage must have completed."""
@@ -49,11 +50,24 @@ class Run:
 
     def ingest(self, only: str | None = None) -> None:
         for name, dump in sqldump.DUMPS.items():
-            if only in (None, name):
+            if only in (None, name) and self.resume:
+                self._ingest_files(name, dump)
+            elif only in (None, name):
                 path = files.raw_path(self.spark, self.layout.raw_file(self.prefix + dump.file), required=not dump.optional)
                 if path:
                     self._stage(name, lambda p=path, n=name: sqldump.read_dump(self.spark, p, n, strict=self.params.strict_escape))
 
+    def _ingest_files(self, name: str, dump: sqldump.Dump) -> None:
+        """A dump in several files (table.1.sql.gz, ...): those that an interrupted run has done are not parsed again."""
+        spark, target = self.spark, self.layout.table(name)
+        pattern = self.layout.raw_file(f"{self.prefix}{name}.*sql.gz")
+        if not files.matches(spark, pattern):
+            files.raw_path(spark, self.layout.raw_file(self.prefix + dump.file), required=not dump.optional)
+            return
+        columns = sqldump.create_columns(sqldump.lines(spark, pattern), name)
+        if ingest.ingest_new(spark, pattern, name, columns, target, f"{target}.done", self.params.strict_escape) or not files.is_complete(spark, target):
+            files.adopt(spark, target)
+
     def pages(self) -> None:
         self._stage("pages_clean", lambda: G.clean_pages(self.table("page"), self.params.min_page_len))
 
@@ -61,14 +75,16 @@ class Run:
         self._stage("edges", lambda: G.edges(self.table("pagelinks"), self.table("linktarget"), self.table("pages_clean")))
 
     def extract(self) -> None:
-        path = files.raw_path(self.spark, self.layout.raw_file(self.prefix + PAGES_XML))
-        found = xmldump.read_pages(self.spark, path, self.strict_xml)
-        articles = xmldump.article_pages(found, self.limit)
-        facts = {"limited": True} if self.limit else {}
-        out = self._stage("articles_raw", lambda: A.articles_raw(articles, self.exact_text), **facts)
-        status = xmldump.checked_articles(found, out, self.min_articles)
-        target = self.layout.table("articles_raw")
-        files.write_json(self.spark, files.marker(target), {"rows": out.count(), "status": status, **facts})
+        seen = Observation()
+
+        def build() -> DataFrame:
+            path = files.raw_path(self.spark, self.layout.raw_file(self.prefix + PAGES_XML))
+            pages = xmldump.malformed(xmldump.read_pages(self.spark, path, self.strict_xml), seen)
+            return A.articles_raw(xmldump.article_pages(pages, self.limit), self.exact_text)
+
+        # the check comes before the marker, so a rejected extraction is never taken as complete
+        check = lambda rows: xmldump.extraction_facts(rows, 0 if self.limit else seen.get["malformed"], self.min_articles)
+        self._stage("articles_raw", build, check=check, **({"limited": True} if self.limit else {}))
 
     def articles(self) -> None:
         self._stage("articles_clean", lambda: A.articles_clean(self.table("pages_clean"), self.table("articles_raw"), self.params.min_words))
@@ -122,7 +138,8 @@ class Run:
         }.items():
             files.write_csv(data, self.layout.result(f"figures/{name}.csv"))
             if figures.available():
-                figures.draw(name, [r.asDict() for r in data.toLocalIterator()], self.layout.result(f"figures/{name}.png"))
+                drawn = X.binned_scatter(data) if name == "exact_vs_minhash" else data
+                figures.draw(name, [r.asDict() for r in drawn.toLocalIterator()], self.layout.result(f"figures/{name}.png"))
 
     STAGES = ("ingest", "pages", "edges", "extract", "articles", "graph_stats", "pagerank", "groups", "shingles", "similarity", "analysis", "figures")
 

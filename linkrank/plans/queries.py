@@ -16,6 +16,8 @@ from ..operators import pagerank as R
 from ..operators import reports as X
 from ..operators import similarity as S
 from ..session import checkpointed
+from ..sources.files import changed
+from . import markup, roundtrips
 from .adapter import CATEGORIES, adapted
 
 #: Parameters of the queries. Sums in another order round alike at these digits.
@@ -99,11 +101,11 @@ class Workspace:
         return S.percentile_similarity(self.groups, self.shingled)
 
 
-_spaces: dict[tuple[str, str], Workspace] = {}
+_spaces: dict[tuple[str, str, int], Workspace] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir, changed(spark, sf_dir)
     if key not in _spaces:
         _spaces[key] = Workspace(spark, sf_dir)
     return _spaces[key]
@@ -134,6 +136,7 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "token_counts": lambda w: w.documents.select("page_id", "word_count"),
     "articles_clean": lambda w: w.articles,
     "shingle_counts": lambda w: _shingle_rows(w).select("page_id", F.size("shingles").cast("long").alias("num_shingles")),
+    "shingle_lists": lambda w: _shingle_rows(w).select("page_id", F.md5(F.array_join("shingles", "|")).alias("shingles_md5")),
     "shingles_exploded": lambda w: _shingle_rows(w).select("page_id", F.explode("shingles").alias("shingle")),
     "sample_md5": lambda w: C.sample(w.pages, GROUP_SIZE, SEED).select("page_id", "title"),
     "groups_top": lambda w: rounded(C.top_pages(w.base, GROUP_SIZE), DIGITS),
@@ -166,26 +169,7 @@ def _bind(make: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: _bind(make) for name, make in QUERIES.items()}
-    out["strip_balanced"] = strip_balanced
-    out["clean_wikitext"] = clean_wikitext
-    return out
-
-
-def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with markup put around their lines, so that the cleaner has work to do."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    markup = F.concat(F.lit("{{box|{{inner}}}} == Head ==\n* '''"), F.col("source"), F.lit("''' [[Target|label]] [[bare]] <ref>note</ref> {| cell |}\n"), F.col("text"))
-    return docs.select(F.col("doc_id").alias("page_id"), "source", "text", markup.alias("raw_wikitext"))
-
-
-def strip_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = marked_up(spark, sf_dir).where(~F.contains("text", F.lit("{")) & ~F.contains("text", F.lit("}")))
-    return rows.select("page_id", text.without_balanced(F.col("raw_wikitext"), "{{", "}}").alias("stripped"))
-
-
-def clean_wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked_up(spark, sf_dir).select("page_id", text.clean_wikitext(F.col("raw_wikitext")).alias("clean_text"))
+    return {name: _bind(make) for name, make in QUERIES.items()} | markup.QUERIES | roundtrips.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

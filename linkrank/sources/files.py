@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def changed(spark: SparkSession, folder: str) -> int:
+    """When a table in ``folder`` last changed, in milliseconds."""
+    fs, p = _fs(spark, folder)
+    return max((x.getModificationTime() for x in fs.listStatus(p)), default=0)
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file has a path like ``pattern``."""
+    fs, p = _fs(spark, pattern)
+    return bool(fs.globStatus(p))
+
+
 def raw_path(spark: SparkSession, path: str, required: bool = True) -> str | None:
     """The path of an input file; None if it is optional and absent."""
     if exists(spark, path):
@@ -91,13 +103,17 @@ def require_complete(spark: SparkSession, path: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, path: str, compression: str = "snappy", rows_per_file: int = 0, allow_empty: bool = True, **facts) -> int:
+def write_table(df: DataFrame, path: str, compression: str = "snappy", rows_per_file: int = 0, allow_empty: bool = True, check: Callable[[int], dict] | None = None, **facts) -> int:
     """Writes a Parquet table, counts its rows on the way, checks them against what can be read, and marks it complete.
 
-    The committer makes files visible at the end only; the marker comes last.
+    The committer makes files visible at the end only; the marker comes last. ``check`` gets the number of rows and gives
+    more facts for the marker, or raises an error, by which the table stays incomplete.
     """
     spark = df.sparkSession
     seen = Observation()
+    if exists(spark, marker(path)):  # what is written over is not complete any more
+        fs, old = _fs(spark, marker(path))
+        fs.delete(old, False)
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", compression)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -108,15 +124,15 @@ def write_table(df: DataFrame, path: str, compression: str = "snappy", rows_per_
         raise Incomplete(f"{path} has {there} rows of {rows}")
     if not rows and not allow_empty:
         raise Empty(path)
-    write_json(spark, marker(path), {"rows": rows, "status": "complete", **facts})
+    write_json(spark, marker(path), {"rows": rows, "status": "complete", **facts, **(check(rows) if check else {})})
     return rows
 
 
-def adopt(spark: SparkSession, path: str) -> int:
-    """Marks a table that is there already as complete."""
+def adopt(spark: SparkSession, path: str, min_rows: int = 1) -> int:
+    """Marks a table that is there already as complete, unless it has too few rows."""
     rows = spark.read.parquet(path).count()
-    if not rows:
-        raise Empty(path)
+    if rows < max(min_rows, 1):
+        raise Empty(f"{path} has {rows} rows; {min_rows} at least are wanted")
     write_json(spark, f"{path}/_SUCCESS", {})
     write_json(spark, marker(path), {"rows": rows, "status": "complete", "adopted": True})
     return rows
@@ -156,17 +172,3 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """file and sha1 from lines of a digest and a name."""
     parts = F.split(F.trim("value"), r"\s+\*?", 2)
     return spark.read.text(path).where(F.trim("value") != "").select(parts[1].alias("file"), parts[0].alias("sha1"))
-
-
-def in_batches(rows: Iterable, size: int) -> Iterable[list]:
-    """Lists of ``size`` items, the last may be shorter."""
-    if size < 1:
-        raise ValueError("a batch has one item at least")
-    batch = []
-    for row in rows:
-        batch.append(row)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch

@@ -16,10 +16,14 @@ from pyspark.sql import types as T
 ROW = r"\((?:[^'()]++|'(?:[^'\\]++|\\.)*+')*+\)"
 FIELD = r"(?:^|,)((?:[^',]++|'(?:[^'\\]++|\\.)*+')*+)"
 
-#: Escapes and what they stand for, in the order in which they are replaced.
+# Escapes and what they stand for, in the order in which they are replaced.
 ESCAPES = (("\\'", "'"), ('\\"', '"'), ("\\\\", "\\"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\0", "\0"))
 
 
+#: Lines of a dump's head that are read for its schema, and characters of each.
+HEAD_LINES, HEAD_CHARS = 1000, 256
+
+
 @dataclass(frozen=True)
 class Dump:
     """A table of a dump: its file's ending and the columns to keep."""
@@ -54,23 +58,24 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def create_columns(text: DataFrame, table: str) -> list[str]:
-    """Column names in the order of the dump's CREATE TABLE.
+    """Column names in the order of the dump's CREATE TABLE, wherever in the dump that is.
 
-    Only the lines between it and its closing parenthesis reach the driver: they are few, and come first in the file.
+    Only beginnings of lines reach the driver: of the first HEAD_LINES, in which the statement mostly is, or else of all
+    lines that may belong to such a statement, which INSERT lines never do.
     """
-    # the statement spans lines, so the head of the file is read in its order
-    name, inside = [], False
-    for row in text.limit(10_000).toLocalIterator():
-        line = row["value"].lstrip()
-        if line.startswith(f"CREATE TABLE `{table}`"):
-            inside = True
-        elif inside and line.startswith(")"):
-            break
-        elif inside and line.startswith("`") and "`" in line[1:]:
-            name.append(line[1:].split("`", 1)[0])
-    if not name:
-        raise ValueError(f"no CREATE TABLE `{table}` in the dump")
-    return name
+    begins = text.select(F.substring(F.ltrim("value"), 1, HEAD_CHARS).alias("value"))
+    schema_line = F.col("value").startswith("CREATE TABLE ") | F.col("value").startswith("`") | F.col("value").startswith(")")
+    for some in (begins.limit(HEAD_LINES), begins.where(schema_line)):
+        names, inside = [], False
+        for row in some.toLocalIterator():
+            line = row["value"]
+            if line.startswith(f"CREATE TABLE `{table}`"):
+                inside = True
+            elif inside and line.startswith(")"):
+                return names
+            elif inside and line.startswith("`") and "`" in line[1:]:
+                names.append(line[1:].split("`", 1)[0])
+    raise ValueError(f"no CREATE TABLE `{table}` in the dump")
 
 
 def insert_payloads(text: DataFrame, table: str) -> DataFrame:

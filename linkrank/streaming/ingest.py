@@ -21,4 +21,4 @@ def ingest_new(spark: SparkSession, folder: str, table: str, columns: list[str],
     rows = sqldump.selected(sqldump.tuples(sqldump.insert_payloads(text, table)), columns, sqldump.DUMPS[table].schema, strict)
     query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return len(query.recentProgress)
+    return sum(p["numInputRows"] > 0 for p in query.recentProgress)

@@ -18,7 +18,7 @@ def test_every_figure_draws():
         "mean_similarity": [{"group_name": "g", "mean_similarity": 0.1}],
         "similarity_box": [{"group_name": "g", "q1": 1, "median": 2, "q3": 3, "whisker_low": 0, "whisker_high": 4}],
         "percentile_similarity": [{"bin_idx": 1, "percentile_bin": "10-20%", "mean_similarity": 0.2}, {"bin_idx": 0, "percentile_bin": "0-10%", "mean_similarity": 0.1}],
-        "exact_vs_minhash": [{"group_name": "g", "jaccard_exact": 0.1, "jaccard_minhash": 0.2}],
+        "exact_vs_minhash": [{"group_name": "g", "jaccard_exact": 0.1, "jaccard_minhash": 0.2, "n": 3}],
     }
     assert set(rows) == set(figures.DRAW)
     for name, data in rows.items():

@@ -8,7 +8,7 @@ import pytest
 
 from linkrank.config import Layout, Params
 from linkrank.plans import cli, pipeline
-from linkrank.sources import files
+from linkrank.sources import files, xmldump
 
 
 def dump(path, table, columns, rows):
@@ -75,7 +75,7 @@ def test_queries_equal_sql(spark):
     for name in os.listdir(SF):
         con.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{SF}/{name}'")
     made, wanted = queries.queries(), oracles.oracle_sql()
-    assert set(wanted) <= set(made) and set(made) - set(wanted) == {"minhash_blake2_16", "clean_wikitext"}
+    assert set(wanted) <= set(made) and set(made) - set(wanted) == {"minhash_blake2_16"}
     for name, sql in wanted.items():
         df = made[name](spark, SF)
         columns = sorted(df.columns)
@@ -95,12 +95,60 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_rejected_extraction_is_not_complete(spark, layout):
+    with open(f"{layout.raw}/pages-articles.xml.bz2", "rb") as f:
+        whole = bz2.decompress(f.read())
+    bad = b"<page><title>x</title><ns>0</ns><id>no number</id><revision><text>t</text></revision></page>"
+    with open(f"{layout.raw}/pages-articles.xml.bz2", "wb") as f:
+        f.write(bz2.compress(whole.replace(b"</mediawiki>", b"<page><id>7</id><title>broken</ti></page>" + bad + b"</mediawiki>")))
+    run = pipeline.Run(spark, layout)
+    found = run.spark.read.format("xml").option("rowTag", "page").schema("id BIGINT, title STRING").load(f"{layout.raw}/pages-articles.xml.bz2")
+    if not found.where("id IS NULL AND title IS NULL").count():
+        pytest.skip("the parser mends these pages")
+    with pytest.raises(xmldump.TooFewPages):
+        run.extract()
+    assert not files.is_complete(spark, layout.table("articles_raw"))
+    with pytest.raises(files.Incomplete):
+        run.table("articles_raw")
+    pipeline.Run(spark, layout, min_articles=5).extract()
+    assert files.read_json(spark, files.marker(layout.table("articles_raw")))["status"] == "complete_with_warnings"
+    os.remove(f"{layout.raw}/pages-articles.xml.bz2")
+    run.extract()  # a finished extraction doesn't read the dump again
+
+
+def test_resumed_ingestion(spark, layout):
+    with open(f"{layout.raw}/page.sql.gz", "rb") as f:
+        whole = f.read()
+    for name in ("linktarget", "pagelinks", "categorylinks"):
+        os.rename(f"{layout.raw}/{name}.sql.gz", f"{layout.raw}/{name}.1.sql.gz")
+    os.rename(f"{layout.raw}/page.sql.gz", f"{layout.raw}/page.1.sql.gz")
+    run = pipeline.Run(spark, layout, resume=True)
+    run.ingest()
+    assert run.table("page").count() == 11
+    with open(f"{layout.raw}/page.2.sql.gz", "wb") as f:
+        f.write(gzip.compress(gzip.decompress(whole).replace(b"'T_", b"'U_")))
+    run.ingest()
+    assert run.table("page").count() == 22 and run.table("pagelinks").count() > 0
+    assert files.read_json(spark, files.marker(layout.table("page")))["rows"] == 22
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_cleaners_agree(spark):
-    from linkrank.functions import text
-    from linkrank.plans import queries
+    from linkrank.plans import markup
 
-    rows = queries.marked_up(spark, SF)
-    a = rows.select("page_id", text.clean_wikitext(rows["raw_wikitext"]).alias("x"))
-    b = rows.select("page_id", text.clean_wikitext_exact(rows["raw_wikitext"]).alias("x"))
+    a, b = markup.clean_wikitext(spark, SF), markup.clean_wikitext_exact(spark, SF)
     assert a.exceptAll(b).count() == 0 and b.count() == a.count()
+
+
+def test_quantiles(spark):
+    import statistics
+
+    from linkrank.operators.graph import describe, quantiles
+
+    for values in ([5], [1, 2], [3, 1, 2, 2, 9, 9, 9, -4], list(range(1000))):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v long")
+        got = quantiles(df, "v", (0.0, 0.25, 0.5, 0.75, 1.0))
+        want = statistics.quantiles(values, n=4, method="inclusive") if len(values) > 1 else [5.0] * 3
+        assert got == pytest.approx([min(values), *want, max(values)])
+    assert quantiles(spark.createDataFrame([], "v long"), "v", (0.5,)) == [None]
+    assert [r["v"] for r in describe(df, "v").collect()][4:7] == pytest.approx(want)

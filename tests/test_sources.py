@@ -84,17 +84,30 @@ def test_pages(spark, tmp_path):
     articles = xmldump.article_pages(pages)
     assert sorted(map(tuple, articles.collect())) == [(1, "A_b", "words"), (5, "A_b", "one"), (6, "A_b", "a &nbsp; b")]
     assert [r[0] for r in xmldump.article_pages(pages, limit=2).collect()] == [1, 5]
-    assert xmldump.checked_articles(pages, articles, 1) == "complete"
 
 
 def test_truncated_pages(spark, tmp_path):
     path = tmp_path / "cut.xml"
     path.write_text("<mediawiki>" + page_xml(1) + "<page><title>x</title><ns>0</ns><id>2</id><revision><text>cut")
     pages = xmldump.read_pages(spark, str(path))
-    articles = xmldump.article_pages(pages)
-    assert [r[0] for r in articles.collect()] == [1]
-    status = "complete" if pages.count() == 1 else "complete_with_warnings"
-    assert xmldump.checked_articles(pages, articles, 1) == status
+    assert [r[0] for r in xmldump.article_pages(pages).collect()] == [1]
+    assert xmldump.extraction_facts(5, 0, 10) == {}
+    assert xmldump.extraction_facts(10, 1, 10)["status"] == "complete_with_warnings"
+    with pytest.raises(xmldump.TooFewPages):
+        xmldump.extraction_facts(9, 1, 10)
+
+
+def test_white_space_stays(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<mediawiki>" + page_xml(1, text="  two\n ") + "</mediawiki>")
+    assert [r[2] for r in xmldump.article_pages(xmldump.read_pages(spark, str(tmp_path / "a.xml"))).collect()] == ["  two\n "]
+
+
+def test_schema_far_into_a_dump(spark, tmp_path):
+    line = "INSERT INTO `x` VALUES (" + "1" * 2000 + ");\n"
+    path = tmp_path / "far.sql"
+    path.write_text(line * 20_000 + "CREATE TABLE `page` (\n  `page_id` int,\n  `b` int\n) E;\n" + line * 20_000)
+    before = spark.conf.get("spark.driver.maxResultSize", None)
+    assert sqldump.create_columns(sqldump.lines(spark, str(path)), "page") == ["page_id", "b"], before
 
 
 def test_tables(spark, tmp_path):
@@ -117,6 +130,9 @@ def test_tables(spark, tmp_path):
     assert files.table_path(spark, str(tmp_path / "u")) == str(tmp_path / "u")
     spark.range(4).write.parquet(str(tmp_path / "v.parts"))
     assert files.table_path(spark, str(tmp_path / "v")) == str(tmp_path / "v.parts")
+    with pytest.raises(files.Empty):
+        files.adopt(spark, str(tmp_path / "v.parts"), min_rows=5)
+    assert not files.is_complete(spark, str(tmp_path / "v.parts"))
     assert files.adopt(spark, str(tmp_path / "v.parts")) == 4
     assert files.is_complete(spark, str(tmp_path / "v.parts"))
     assert files.raw_path(spark, str(tmp_path / "none"), required=False) is None
@@ -141,12 +157,6 @@ def test_checksums(spark, tmp_path):
     assert {r["file"]: r["status"] for r in got.collect()} == {"a.bin": "OK", "b.bin": "BAD", "c.bin": "NO ENTRY"}
 
 
-def test_batches():
-    assert list(files.in_batches(range(5), 2)) == [[0, 1], [2, 3], [4]]
-    with pytest.raises(ValueError):
-        next(iter(files.in_batches([1], 0)))
-
-
 def test_new_files_only(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = "INSERT INTO `categorylinks` VALUES ({},1);\n"
