@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import math
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import delete, scratch
+
 #: Prefix of working columns, so that a caller's extra columns never clash with them.
 P = "__lr_"
 
@@ -29,21 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only for a local master that names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not re.match(r"local(\[|$)", sc.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkrank-shared-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def text_batches(spark: SparkSession) -> None:
     """Lets Python workers get BATCH_ROWS texts at once and not ten thousand, on this session, as some texts are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -73,15 +56,6 @@ def trimmed(result):
     return result
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
-
-
 def stored(df: DataFrame, *order: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: cuts lineage and outlives executors.
 
@@ -89,12 +63,11 @@ def stored(df: DataFrame, *order: str) -> DataFrame:
     row groups. The folder goes when the driver's interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linkrank-{uuid.uuid4().hex}"
+    path = scratch(spark)
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._stored_at = path
     return out
@@ -102,7 +75,7 @@ def stored(df: DataFrame, *order: str) -> DataFrame:
 
 def discarded(df: DataFrame) -> None:
     """Deletes a table that ``stored`` gave, as nothing will read it again."""
-    _delete(df.sparkSession, df._stored_at)
+    delete(df.sparkSession, df._stored_at)
 
 
 def group_counts(df: DataFrame, group: str) -> dict:
