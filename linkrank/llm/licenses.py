@@ -145,10 +145,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", key: st
     few = known.limit(BROADCAST_ROWS + 1).collect()
     if len(few) > BROADCAST_ROWS:
         return _scan_by_shuffle(rows, known)
-    # constants, which the optimiser folds: most texts have none of these lines, which one hashed intersection tells
-    digests = F.split(F.lit(",".join(r["digest"] for r in few)), ",")
+    # constants: a hash set that is built once
     names = F.str_to_map(F.lit("\n".join(f"{r['digest']}\t{r['license_id']}" for r in few)), F.lit("\n"), F.lit("\t"))
-    hits = F.when(F.size(F.array_intersect("lines", digests)) > 0, F.filter("lines", lambda d: F.array_contains(digests, d))).otherwise(F.array().cast("array<string>"))
+    hits = F.expr(f"filter(lines, d -> d IN ({', '.join(repr(str(r['digest'])) for r in few) or 'NULL'}))")
     rows = rows.select("doc_id", "canonical_sha256", hits.alias("hits"))
     found = rows.join(F.broadcast(known), F.col("canonical_sha256") == F.col("digest"), "left")
     return found.select(
