@@ -38,14 +38,19 @@ def text_batches(spark: SparkSession) -> None:
 resident: dict = {}
 
 
+def released() -> None:
+    """Lets go of what other stages left in ``resident``; batches of stages that keep nothing begin with this."""
+    if resident:
+        resident.clear()
+        trimmed(None)
+
+
 def trimmed(result):
-    """``result``, after a Python worker let go of what other stages left in ``resident`` and gave free memory back.
+    """``result``, after a Python worker gave free memory back.
 
-    Workers stay between stages and share the executor's memory with the JVM, so batches of stages that keep nothing
-    end with this.
+    Workers stay between stages and share the executor's memory with the JVM, so batches end with this.
     """
-    if resident:
-        resident.clear()
+    resident.clear()
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()

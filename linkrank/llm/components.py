@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, discarded, stored
+from .common import P, discarded, released, stored
 
 #: Most links that one task works on.
 SMALL = 1 << 19
@@ -39,6 +39,7 @@ def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    released()
     held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
     if held:
         nodes, roots = united(*(np.concatenate(x) for x in zip(*held)))

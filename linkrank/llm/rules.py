@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, text_batches, trimmed
+from .common import P, released, text_batches, trimmed
 
 #: Most labelled texts, and most of their lines, that training takes.
 TRAIN_DOCS, TRAIN_LINES = 4000, 400_000
@@ -247,6 +247,7 @@ def verdict(field: Field, text: Column) -> Column:
     """A struct of the base measures, content_share, base_failed and kept."""
 
     def judge(texts: pd.Series) -> pd.DataFrame:
+        released()
         known: dict[int, tuple[float, float]] = {}
         rows = []
         for text in texts:

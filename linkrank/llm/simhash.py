@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, discarded, stored, text_batches, trimmed
+from .common import P, discarded, released, stored, text_batches, trimmed
 from .components import components
 
 #: Fingerprints that estimates are made from.
@@ -393,6 +393,7 @@ def summaries(text: Column) -> Column:
     """The fingerprint of the text's shingle set, the set's size and digest, and the sketch of its least hashes."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
+        released()
         rows = []
         for x in texts:
             hashes = hash_set(x)
