@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import delete, scratch
@@ -19,6 +19,9 @@ MAX_GROUPS = 100_000
 #: Most rows that one bucket of a ranking gets on average.
 BUCKET_ROWS = 4096
 
+#: Most keys that count as hot, and the rows that one has at least.
+HOT, HOT_ROWS = 100_000, 1000
+
 #: Most rows of an Arrow batch of texts.
 BATCH_ROWS = 1000
 
@@ -83,6 +86,17 @@ def discarded(df: DataFrame) -> None:
     delete(df.sparkSession, df._stored_at)
 
 
+def spread(rows: DataFrame, keyed: DataFrame, same: Column, n: str, most: int) -> DataFrame:
+    """``rows`` joined on ``same`` with ``keyed``, which has one row of each key and in ``n`` how many of ``rows`` have it.
+
+    ``rows`` are ``most`` at most, so at most HOT keys have over a HOT-th of that: these are broadcast, and what is
+    shuffled has no hot key. ``n`` is not among the result's columns.
+    """
+    least = max(HOT_ROWS, most // HOT)
+    hot = F.broadcast(keyed.where(F.col(n) > least).drop(n))
+    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(keyed.where(F.col(n) <= least).drop(n), same))
+
+
 def group_counts(df: DataFrame, group: str) -> dict:
     """Rows per value of ``group``; the number of values is checked against MAX_GROUPS."""
     rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()

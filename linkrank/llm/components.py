@@ -9,16 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, discarded, released, stored
+from .common import P, discarded, released, spread, stored
 
 #: Most links that one task works on.
 SMALL = 1 << 19
 
 
-def _star(both: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the least of u and its neighbours. ``both``: u, v."""
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias(f"{P}u"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col(f"{P}u")).drop(f"{P}u")
+def _star(both: DataFrame, most: int) -> DataFrame:
+    """(u, v, m): each pair with the least of u and its neighbours. ``both``: u, v, of ``most`` rows at most. A node with
+    very many neighbours doesn't go to one task."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias(f"{P}n")).select(F.col("u").alias(f"{P}u"), F.least("u", "m").alias("m"), f"{P}n")
+    return spread(both, least, F.col("u") == F.col(f"{P}u"), f"{P}n", most).drop(f"{P}u")
 
 
 def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,12 +56,13 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     as every link then points to a root.
     """
     edges, before = stored(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u > v").distinct()), None
-    if edges.count() <= small:
+    most = 2 * edges.count()  # no step adds links
+    if most <= 2 * small:
         return edges.coalesce(1).mapInArrow(_in_one_task, "node long, root long")
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = _star(large)
+        large = _star(both, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = _star(large, most)
         small_star = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         last, edges = edges, stored(small_star.where("u > v").distinct())
         discarded(last)

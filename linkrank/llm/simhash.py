@@ -30,15 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, discarded, released, stored, text_batches, trimmed
+from .common import P, discarded, released, spread, stored, text_batches, trimmed
 from .components import components
 
 #: Fingerprints that estimates are made from.
 SAMPLE = 2048
 #: Largest bucket that is compared all against all.
 CAP = 256
-#: Most fingerprints that count as hot, and the rows that one has at least.
-HOT, HOT_ROWS = 100_000, 1000
 #: Cost of one probe row in comparisons.
 ROW_COST = 8.0
 
@@ -333,11 +331,8 @@ def near_duplicates(docs: DataFrame, tau: int = 2, cap: int = CAP, text: str = "
     least = roots.join(nodes, F.col("node") == F.col("p")).groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias(f"{P}p"), "component_id")
     named = nodes.join(linked, F.col("p") == F.col(f"{P}p"), "left").select(F.col("p").alias(f"{P}p"), F.coalesce("component_id", "first").alias("component_id"), "n")
-    # fingerprints of over a HOT-th of all rows: at most HOT of them, so they are broadcast, and what is shuffled has no hot key
-    least_hot = max(HOT_ROWS, (nodes.agg(F.sum("n")).first()[0] or 0) // HOT)
-    hot = F.broadcast(named.where(F.col("n") > least_hot))
-    same = F.col("p") == F.col(f"{P}p")
-    out = light.join(hot, same).unionByName(light.join(hot, same, "left_anti").join(named.where(F.col("n") <= least_hot), same))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    out = spread(light, named, F.col("p") == F.col(f"{P}p"), "n", total)
     return out.select("doc_id", F.lpad(F.lower(F.hex("p")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -585,11 +580,13 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` (uid, size, own, place, key) with their roots and n, of the keys whose sets are of several classes."""
+def _open(members: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """``members`` (uid, size, own, place, key; ``most`` at most) with their roots and n, of the keys whose sets are of
+    several classes."""
     rooted = members.join(components(found).withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 < r2").select("key", "n")
-    return stored(rooted.join(keys, "key"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 < r2")
+    keys = keys.select(F.col("key").alias(f"{P}key"), "n", F.col("n").alias(f"{P}n"))
+    return stored(spread(rooted, keys, F.col("key") == F.col(f"{P}key"), f"{P}n", most).drop(f"{P}key"))
 
 
 def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -627,17 +624,20 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
     sets = stored(_sets(docs, _few(wanted.select("uid", F.col("digest").alias(f"{P}digest"), F.col("first").alias(f"{P}first"), F.col("n").alias(f"{P}n")), left), text, key))
     near = near_links(wanted.select(F.lit(0).alias("r"), "p", F.col("uid").alias("node")), COPY_TAU, cap, sparse=True)
     found = found.unionByName(_alike(near, sets))
-    members = _open(_rarest(sets, left), found)
+    # a set has a fifth of its shingles, and one more, among the rarest at most
+    most = (sets.agg(F.sum(F.octet_length("parts"))).first()[0] or 0) // 30 + left
+    members = _open(_rarest(sets, left), found, most)
     for _ in range(PIVOTS):
         if not members.where(F.col("n") > 1).limit(1).count():
             return groups, components(found)
-        pivots = members.groupBy("key").agg(F.min(F.struct("own", "uid", "size", "place", "root")).alias("x")).select("key", "x.*")
-        x, y = members.alias("x"), pivots.alias("y")
-        pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
+        pivots = members.groupBy("key").agg(F.min(F.struct("own", "uid", "size", "place", "root")).alias("x"), F.max("n").alias(f"{P}n")).select("key", "x.*", f"{P}n")
+        met = members.select("key", F.struct("uid", "size", "place", "root").alias("x"))
+        met = spread(met, pivots.select(F.col("key").alias(f"{P}key"), F.struct("uid", "size", "place", "root").alias("y"), f"{P}n"), F.col("key") == F.col(f"{P}key"), f"{P}n", most)
+        pairs = met.where((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
         more = _alike(pairs.select(*_ordered("x", "y")).distinct(), sets)
         rest = members.drop("root", "n").join(pivots.select(F.col("key").alias("k"), F.col("uid").alias("u")), (F.col("key") == F.col("k")) & (F.col("uid") == F.col("u")), "left_anti")
         found, last = found.unionByName(more), members
-        members = _open(rest, found)
+        members = _open(rest, found, most)
         discarded(last)
         if not members.where(F.col("n") > cap).limit(1).count():
             break

@@ -251,6 +251,28 @@ def test_long_chain(spark):
         assert got == {i: min(x) for i, x in want.items() if len(x) > 1}
 
 
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """Joins with hot keys apart give the same: a star about one node in rounds, rows of one fingerprint, and copies."""
+    from linkrank.llm import common
+    from linkrank.llm.components import components
+
+    left = spark.range(50).selectExpr("id", "id div 40 AS k")
+    right = left.groupBy("k").count().selectExpr("k AS key", "k * 10 AS x", "count AS n")
+    texts = edited_copies(random.Random(7)) + reordered_copies(random.Random(8)) + ["one two three"] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for least in (common.HOT_ROWS, 2):
+        monkeypatch.setattr(common, "HOT_ROWS", least)
+        joined = common.spread(left, right, F.col("k") == F.col("key"), "n", 50)
+        assert joined.columns == ["id", "k", "key", "x"]
+        assert sorted(map(tuple, joined.collect())) == [(i, i // 40, i // 40, i // 40 * 10) for i in range(50)]
+        star = components(spark.range(1, 60).selectExpr("id AS a", "0L AS b"), 0).collect()
+        assert len(star) == 60 and {r["root"] for r in star} == {0}
+        found.append(sorted(map(tuple, simhash.near_duplicates(df).collect())))
+        assert {r["doc_id"] for r in simhash.deduplicated(df, 3).collect()} == shingle_classes(texts)
+    assert found[0] == found[1]
+
+
 def test_near_duplicates(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     text = rows()
