@@ -252,7 +252,7 @@ def test_long_chain(spark):
 
 
 def test_hot_keys_change_nothing(spark, monkeypatch):
-    """Joins with hot keys apart give the same: a star about one node in rounds, rows of one fingerprint, and copies."""
+    """Joins with hot keys apart give the same: a star about one node in rounds, and rows of one fingerprint."""
     from linkrank.llm import common
     from linkrank.llm.components import components
 
@@ -269,7 +269,6 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
         star = components(spark.range(1, 60).selectExpr("id AS a", "0L AS b"), 0).collect()
         assert len(star) == 60 and {r["root"] for r in star} == {0}
         found.append(sorted(map(tuple, simhash.near_duplicates(df).collect())))
-        assert {r["doc_id"] for r in simhash.deduplicated(df, 3).collect()} == shingle_classes(texts)
     assert found[0] == found[1]
 
 
