@@ -109,22 +109,26 @@ def buckets_for(rows: int) -> int:
     return max(1, math.isqrt(max(rows - 1, 0)) + 1, math.ceil(rows / BUCKET_ROWS))
 
 
-def ranked(df: DataFrame, group: str, counts: dict, keys: list[str], out: str) -> DataFrame:
+def ranked(df: DataFrame, group: str, counts: dict, keys: list[str], out: str, by: Column | None = None) -> DataFrame:
     """Adds ``out``: 0, 1, 2 ... within each value of ``group``, without any task that holds a whole group.
 
-    Rows go to hash buckets of ``keys``; the order is by bucket, then by ``keys``. Counts per bucket give each
-    bucket its offset, so the only window over rows is within one bucket. ``group`` must not be null and
+    Rows go to hash buckets of ``keys``; the order is by bucket, then by ``keys``. With ``by``, a digest in lower-case
+    hex digits, buckets are its ranges, so that the order is that of the digests, then of ``keys``. Counts per bucket
+    give each bucket its offset, so the only window over rows is within one bucket. ``group`` must not be null and
     ``counts`` must hold its row counts.
     """
     spark = df.sparkSession
     g, b = f"{P}group", f"{P}bucket"
     sizes = spark.createDataFrame([(k, buckets_for(n)) for k, n in counts.items()] or [], f"{g} {dict(df.dtypes)[group]}, {P}n int")
-    rows = df.join(F.broadcast(sizes), F.col(group) == F.col(g)).withColumn(b, F.pmod(F.xxhash64(*keys), F.col(f"{P}n")).cast("int")).drop(f"{P}n")
+    first = F.xxhash64(*keys) if by is None else by
+    # of a digest, the first 32 bits scaled to the number of buckets
+    bucket = F.pmod(first, F.col(f"{P}n")) if by is None else F.shiftright(F.conv(F.substring(by, 1, 8), 16, 10).cast("long") * F.col(f"{P}n"), 32)
+    rows = df.join(F.broadcast(sizes), F.col(group) == F.col(g)).withColumn(b, bucket.cast("int")).drop(f"{P}n")
     # the same hash gives the order, so that neighbours in a source are not neighbours in the ranking
     offsets = rows.groupBy(g, b).agg(F.count(F.lit(1)).alias(f"{P}c"))
     before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(F.col(g).alias(f"{P}g2"), F.col(b).alias(f"{P}b2"), F.coalesce(F.sum(f"{P}c").over(before), F.lit(0)).alias(f"{P}o"))
-    inside = Window.partitionBy(g, b).orderBy(F.xxhash64(*keys), *keys)
+    inside = Window.partitionBy(g, b).orderBy(first, *keys)
     rows = rows.withColumn(f"{P}r", F.row_number().over(inside) - 1)
     joined = rows.join(offsets, (F.col(g) == F.col(f"{P}g2")) & (F.col(b) == F.col(f"{P}b2")))
     return joined.withColumn(out, (F.col(f"{P}o") + F.col(f"{P}r")).cast("long")).drop(g, b, f"{P}r", f"{P}g2", f"{P}b2", f"{P}o")

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the operators that SQL can express: license scans and chat formatting."""
+"""DuckDB SQL of the operators that SQL can express: license scans, chat formatting and sharding."""
 
 from __future__ import annotations
 
@@ -47,3 +47,29 @@ def chat_sql() -> str:
  CASE WHEN roles = ['user', 'assistant'] THEN 'prompt_response' WHEN roles = ['system', 'user', 'assistant'] THEN 'instruction' ELSE 'messages' END AS layout,
  CASE WHEN roles = ['user', 'assistant'] THEN {paths('prompt', 'response')} WHEN roles = ['system', 'user', 'assistant'] THEN {paths('instruction', 'output', 'system')}
  ELSE {paths('messages', 'messages[].content', 'messages[].role')} END AS fingerprint FROM g"""
+
+
+def sharding_sql(shards: int = 8) -> str:
+    """Minimax cuts by dynamic programming over all cuts: ``best{k}`` has the least largest load of k shards for each
+    number of leading groups. The greedy cuts at the best capacity follow."""
+    body = "coalesce(text, '')"
+    crc = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b))"
+    octets = f"list_transform(regexp_extract_all(hex(encode({body})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    ones = "4294967295"
+    best = "".join(f"""
+ best{k} AS MATERIALIZED (SELECT i.upto, min(greatest(b.load, i.upto - b.upto)) AS load FROM ends i JOIN best{k - 1} b ON b.upto <= i.upto GROUP BY 1),""" for k in range(2, shards + 1))
+    cuts = "".join(f"""
+ cut{k} AS MATERIALIZED (SELECT max(ends.upto) AS bound FROM ends, capacity, cut{k - 1} WHERE ends.upto <= cut{k - 1}.bound + capacity.load),""" for k in range(1, shards))
+    every = " UNION ALL ".join(f"SELECT bound FROM cut{k}" for k in range(1, shards))
+    return f"""WITH crc AS MATERIALIZED (SELECT {crc} AS t),
+ docs AS MATERIALIZED (SELECT doc_id, CAST(strlen({body}) + 1 AS BIGINT) AS size, sha256({body}) AS digest,
+  xor(list_reduce({octets}, lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), {ones}), {ones}) AS text_crc32 FROM documents, crc),
+ sums AS MATERIALIZED (SELECT digest, CAST(sum(w) OVER (ORDER BY digest) AS BIGINT) AS upto, w FROM (SELECT digest, CAST(sum(size) AS BIGINT) AS w FROM docs GROUP BY 1)),
+ ends AS MATERIALIZED (SELECT upto FROM sums UNION ALL SELECT CAST(0 AS BIGINT)),
+ best1 AS MATERIALIZED (SELECT upto, upto AS load FROM ends),{best}
+ capacity AS MATERIALIZED (SELECT load FROM best{shards} ORDER BY upto DESC LIMIT 1),
+ cut0 AS (SELECT CAST(0 AS BIGINT) AS bound),{cuts}
+ cuts AS MATERIALIZED ({every}),
+ placed AS MATERIALIZED (SELECT digest, CAST((SELECT count(*) FROM cuts WHERE bound <= upto - w) AS INTEGER) AS shard FROM sums)
+ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY sha256(concat_ws(' ', CAST(doc_id AS VARCHAR), digest))) - 1 AS slot,
+ CAST(NULL AS INTEGER) AS grown_shard FROM docs JOIN placed USING (digest)"""

@@ -6,8 +6,8 @@ asked for; the greedy cuts at that capacity are the shards. The driver holds sum
 single groups just where a cut falls.
 
 Edge cases: a null text counts as empty (size 1); an empty table gives an empty result; repeated rows stay rows of
-one group; a group larger than an equal share sets the capacity; of equally good cuts the greedy ones count, and slots of
-rows with one id go by their text's digest; texts of any length count whole; shards may be empty when there are few
+one group; a group larger than an equal share sets the capacity; of equally good cuts the greedy ones count; slots go by the
+SHA-256 of id and text's digest, so a shard's rows are shuffled in the same way each time; texts of any length count whole; shards may be empty when there are few
 groups; only texts and ids are read, so other columns may have any names.
 """
 
@@ -117,5 +117,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", key: s
     _, cuts = minimax_cuts(groups, shards)
     shard = sum(((F.col("digest") >= c).cast("int") for c in cuts), F.lit(0))
     placed = light.withColumn("shard", shard)
-    out = ranked(placed, "shard", group_counts(placed, "shard"), ["doc_id", "digest"], f"{P}slot")
+    order = F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), "digest"), 256)
+    out = ranked(placed, "shard", group_counts(placed, "shard"), ["doc_id", "digest"], f"{P}slot", order)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col(f"{P}slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

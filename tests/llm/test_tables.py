@@ -191,6 +191,16 @@ def test_ranked(spark):
         assert sorted(r["r"] for r in out if r["g"] == g) == list(range(n))
 
 
+def test_ranked_by_a_digest(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'x', 'y') AS g")
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    out = common.ranked(df, "g", common.group_counts(df, "g"), ["id"], "r", digest).collect()
+    for g in "xy":
+        mine = sorted((r["r"], r["id"]) for r in out if r["g"] == g)
+        want = sorted((i for i in range(3000) if (i % 3 == 0) == (g == "x")), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+        assert mine == list(enumerate(want))
+
+
 # --- near-dedup ---
 
 
