@@ -65,4 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": oracles.license_sql(), "op6_chat_formatting": oracles.chat_sql(), "op10_sharding": oracles.sharding_sql()}
+    return {
+        "op1_media_columns": oracles.media_sql(),
+        "op2_license_scan": oracles.license_sql(),
+        "op6_chat_formatting": oracles.chat_sql(),
+        "op10_sharding": oracles.sharding_sql(),
+    }
