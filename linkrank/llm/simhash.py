@@ -271,7 +271,9 @@ def near_links(points: DataFrame, tau: int, cap: int = CAP, sparse: bool = False
 
     r names the fingerprint where a node has several; nodes of one r and p are linked to the least of them. All links
     are between nodes within tau bits in some r. With ``sparse`` a bucket gives a spanning forest of its links in
-    place of all, so their number can't grow with the square of a class of copies.
+    place of all, so their number can't grow with the square of a class of copies, and a bucket that is still over
+    ``cap`` at the third level gives none: its masks with tau bits left out can be millions, too many for the driver to
+    broadcast. So the links may then connect less, and the caller needs another search that is complete.
     """
     spark = points.sparkSession
     least = points.groupBy("r", "p").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
@@ -307,7 +309,7 @@ def near_links(points: DataFrame, tau: int, cap: int = CAP, sparse: bool = False
             near = a.join(b.withColumnsRenamed({k: f"{k}2" for k in bucket}), [F.col(k) == F.col(f"{k}2") for k in bucket] + [F.col("a") < F.col("b"), close])
         out = out.unionByName(near.select("a", "b"))
         heavy = full.where(F.col("n") > cap).select(*columns)
-        if not heavy.limit(1).count():
+        if sparse and depth == 2 or not heavy.limit(1).count():
             return out.distinct()
         if depth < 2:
             level = _probes(heavy, {signed(m): finer_masks(m, tau) for m in masks}, "mask")
@@ -587,6 +589,20 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     return stored(rooted.join(keys, "key"))
 
 
+def _across(members: DataFrame) -> DataFrame:
+    """a and b of all pairs of ``members`` that share a key, are of different classes and may be alike.
+
+    Of each key the largest class is only paired with the others, so a large class of copies among a few other texts
+    isn't paired with itself.
+    """
+    main = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
+    every = members.join(main, "key")
+    x, y = every.where(F.col("root") != F.col("main")).alias("x"), every.alias("y")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.uid") < F.col("y.uid"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & _may_be("x", "y"))
+    return pairs.select(*_ordered("x", "y")).distinct()
+
+
 def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Near copies: (each distinct text's digest, uid, least doc_id, its rows with that doc_id and its rows; uid and root of linked ones).
 
@@ -594,7 +610,8 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
 
     1. Each text gives the fingerprint of its set, and a sketch: its least hashes. A set of which too few sketch hashes
        are in other sketches has no near copy; only the others' sets are made and compared.
-    2. The fingerprints' generalised pigeonhole search gives links, which are compared in full.
+    2. The fingerprints' generalised pigeonhole search gives links, which are compared in full. Fingerprints that lie too
+       close together for its buckets are left to the next step.
     3. A fingerprint finds most near copies, not all. So the sets' rarest shingles, of which near copies share one, give the
        rest: texts of different classes that share one are compared in full. Of each shingle's texts, that with the
        fewest shingles of its own is compared with all others first, so a class of copies of one text takes
@@ -636,9 +653,7 @@ def copy_classes(docs: DataFrame, cap: int = CAP, text: str = "text", key: str =
         discarded(last)
         if not members.where(F.col("n") > cap).limit(1).count():
             break
-    x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
-    more = _alike(pairs.select(*_ordered("x", "y")).distinct(), sets)
+    more = _alike(_across(members), sets)
     return groups, components(found.unionByName(more))
 
 

@@ -372,6 +372,41 @@ def test_near_copies_are_all_found(spark, make):
         assert {r["doc_id"] for r in simhash.deduplicated(df, cap).collect()} == shingle_classes(texts)
 
 
+def test_crowded_fingerprints(spark, monkeypatch):
+    """A large class whose fingerprints crowd the buckets takes no large table of masks, and no copy is lost."""
+    rng, base = random.Random(8), prose(random.Random(9), 120).split()
+    texts = []
+    for _ in range(40):
+        x = list(base)
+        for at in rng.sample(range(120), 2):
+            x[at] = prose(rng, 1)
+        texts.append(" ".join(x))
+    texts += edited_copies(rng)
+    sent, probes = [], simhash._probes
+
+    def counted(rows, finer, column):
+        sent.append(sum(map(len, finer.values())))
+        return probes(rows, {k: v[:1] for k, v in finer.items()} if sent[-1] > 100_000 else finer, column)
+
+    monkeypatch.setattr(simhash, "_probes", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicated(df, 1).collect()} == shingle_classes(texts)
+    assert len(sent) == 3 and max(sent) < 100_000
+
+
+def test_pairs_across_classes(spark):
+    """Each pair of texts of different classes that share a shingle, once, whichever class is the largest."""
+    rng, members = random.Random(10), set()
+    root = {uid: rng.choice([1, 1, 1, 1, 2, 3]) if uid > 3 else uid for uid in range(1, 40)}
+    for key in range(5):
+        members |= {(uid, key) for uid in rng.sample(range(1, 40), 15)}
+    rows = [(uid, 100, 0, 0, key, root[uid]) for uid, key in sorted(members)]
+    df = spark.createDataFrame(rows, "uid long, size int, own int, place int, key long, root long")
+    want = {(a, b) for a, k in members for b, other in members if k == other and a < b and root[a] != root[b]}
+    found = [tuple(r) for r in simhash._across(df).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def all_pairs_classes(texts):
     """The least place of each class, from the overlaps of every text with every other."""
     names, sets = {}, []
