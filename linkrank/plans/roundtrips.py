@@ -6,6 +6,7 @@ What is written goes to a folder of its own in the shared folder.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,8 @@ from ..streaming import ingest
 from . import pipeline
 from .adapter import adapted
 
-#: Rows of an INSERT line.
-LINE_ROWS = 100
+#: Rows of an INSERT line, lines of a dump's file, and pages of an XML file.
+LINE_ROWS, FILE_LINES, FILE_PAGES = 100, 2000, 2000
 
 COLUMNS = {
     "page": ("page_id", "page_namespace", "page_title", "page_is_redirect", "page_len"),
@@ -39,17 +40,24 @@ def quoted(text: Column) -> Column:
 
 
 def write_dump(rows: DataFrame, table: str, path: str, ignored: str = "x_extra") -> None:
-    """A gzip dump of ``rows``: another table's statements, CREATE TABLE with a column more, and INSERT lines."""
+    """A gzip dump of ``rows``: another table's statements, CREATE TABLE with a column more, and INSERT lines.
+
+    It is a folder of files of about FILE_LINES lines, each with the statements at its head, so no task writes or reads it all.
+    """
     value = lambda c, kind: F.coalesce(quoted(F.col(c)) if kind == "string" else F.col(c).cast("string"), F.lit("NULL"))
     fields = [value(c, kind) for c, kind in rows.dtypes]
     one = F.concat(F.lit("("), F.concat_ws(",", fields[0], F.lit("0.5"), *fields[1:]), F.lit(")"))
-    line = F.pmod(F.xxhash64(rows.columns[0]), F.lit(max(1, rows.count() // LINE_ROWS)))
+    count = max(1, rows.count() // LINE_ROWS)
+    parts = math.ceil(count / FILE_LINES)
+    # lines by the whole row, as thousands of rows may have one first column
+    line = F.pmod(F.xxhash64(*rows.columns), F.lit(count))
     inserts = rows.groupBy(line.alias("line")).agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("v"))
-    inserts = inserts.select((F.lit(100) + F.col("line")).alias("o"), F.concat(F.lit(f"INSERT INTO `{table}` VALUES "), "v", F.lit(";")).alias("value"))
+    inserts = inserts.select((F.col("line") % parts).cast("int").alias("part"), (F.lit(100) + F.col("line")).alias("o"), F.concat(F.lit(f"INSERT INTO `{table}` VALUES "), "v", F.lit(";")).alias("value"))
     names = [rows.columns[0], ignored, *rows.columns[1:]]
     head = ["-- dump", "CREATE TABLE `before` (", "  `x` int", ");", "INSERT INTO `before` VALUES (1);", f"CREATE TABLE `{table}` (", *(f"  `{c}` int," for c in names), "  PRIMARY KEY (`x`)", ") ENGINE=x;"]
-    first = rows.sparkSession.createDataFrame(list(enumerate(head)), "o long, value string")
-    first.unionByName(inserts).coalesce(1).sortWithinPartitions("o").select("value").write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    spark = rows.sparkSession
+    first = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.posexplode(F.array(*map(F.lit, head))).alias("at", "value")).select("part", F.col("at").cast("long").alias("o"), "value")
+    first.unionByName(inserts).repartitionById(parts, F.col("part")).sortWithinPartitions("o").select("value").write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 def _odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +104,10 @@ def dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_pages(docs: DataFrame, path: str) -> None:
-    """Documents as a bzip2 dump of page elements, some of them redirects, some in another namespace."""
+    """Documents as a bzip2 dump of page elements, some of them redirects, some in another namespace.
+
+    It is a folder of files of about FILE_PAGES pages, each a document, as the XML reader gives a file to one task.
+    """
     escaped = F.col("text")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(char), F.lit(entity))
@@ -104,9 +115,12 @@ def write_pages(docs: DataFrame, path: str) -> None:
     page = F.concat(
         F.lit("<page><title>Doc "), F.col("doc_id").cast("string"), F.lit("</title><ns>"), F.when(odd(7, 3), "1").otherwise("0"), F.lit("</ns><id>"), F.col("doc_id").cast("string"), F.lit("</id>"),
         F.when(odd(11, 5), '<redirect title="x"/>').otherwise(""), F.lit("<revision><id>1</id><text bytes='1'>"), escaped, F.lit("</text></revision><revision><text>later</text></revision></page>"))
-    pages = docs.where(F.col("text").isNotNull()).select(F.lit(1).alias("o"), page.alias("value"))
-    ends = docs.sparkSession.createDataFrame([(0, "<mediawiki>"), (2, "</mediawiki>")], "o int, value string")
-    pages.unionByName(ends).coalesce(1).sortWithinPartitions("o").select("value").write.option("compression", "bzip2").text(path)
+    parts = math.ceil(max(1, docs.count()) / FILE_PAGES)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    pages = docs.where(F.col("text").isNotNull()).select(part.alias("part"), F.lit(1).alias("o"), page.alias("value"))
+    ends = F.inline(F.array(*(F.struct(F.lit(o).alias("o"), F.lit(tag).alias("value")) for o, tag in ((0, "<mediawiki>"), (2, "</mediawiki>")))))
+    ends = docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), ends)
+    pages.unionByName(ends).repartitionById(parts, F.col("part")).sortWithinPartitions("o").select("value").write.option("compression", "bzip2").text(path)
 
 
 def xml_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

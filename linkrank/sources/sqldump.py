@@ -65,9 +65,10 @@ def create_columns(text: DataFrame, table: str) -> list[str]:
     """
     begins = text.select(F.substring(F.ltrim("value"), 1, HEAD_CHARS).alias("value"))
     schema_line = F.col("value").startswith("CREATE TABLE ") | F.col("value").startswith("`") | F.col("value").startswith(")")
-    for some in (begins.limit(HEAD_LINES), begins.where(schema_line)):
+    # taken and not limited, the first lines are read from one file after another, not from each
+    for some in (begins.take(HEAD_LINES), begins.where(schema_line).toLocalIterator()):
         names, inside = [], False
-        for row in some.toLocalIterator():
+        for row in some:
             line = row["value"]
             if line.startswith(f"CREATE TABLE `{table}`"):
                 inside = True
@@ -130,5 +131,6 @@ def read_dump(spark: SparkSession, path: str, table: str, schema: T.StructType |
     text = lines(spark, path)
     columns = create_columns(text, table)
     payloads = insert_payloads(text, table)
-    payloads = payloads.repartition(parts or spark.sparkContext.defaultParallelism)
+    # without a number, lines are dealt out by their size, not to as many tasks as there are cores
+    payloads = payloads.repartition(parts) if parts else payloads.repartition(F.xxhash64("payload"))
     return selected(tuples(payloads), columns, schema or DUMPS[table].schema, strict)

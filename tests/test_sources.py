@@ -5,6 +5,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkrank.sources import files, sqldump, xmldump
 from linkrank.streaming import ingest
@@ -168,3 +169,26 @@ def test_new_files_only(spark, tmp_path):
     run()
     run()
     assert sorted(r[0] for r in spark.read.parquet(at[1]).collect()) == [1, 2]
+
+
+def test_dumps_are_written_and_read_in_several_files(spark, tmp_path, monkeypatch):
+    """Neither writing nor reading a dump made of tables goes to one task; each file is whole by itself."""
+    import bz2
+    from xml.etree import ElementTree
+
+    from linkrank.plans import roundtrips
+
+    monkeypatch.setattr(roundtrips, "FILE_LINES", 2)
+    monkeypatch.setattr(roundtrips, "FILE_PAGES", 20)
+    rows = spark.range(1000).select(F.lit(7).cast("long").alias("cl_from"), F.col("id").alias("cl_target_id"))
+    roundtrips.write_dump(rows, "categorylinks", str(tmp_path / "d"))
+    assert len(list((tmp_path / "d").glob("*.gz"))) == 5
+    read = sqldump.read_dump(spark, str(tmp_path / "d"), "categorylinks")
+    assert sorted(r.cl_target_id for r in read.collect()) == list(range(1000))
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("a & b\nc "), "id").alias("text"))
+    roundtrips.write_pages(docs, str(tmp_path / "x"))
+    files = list((tmp_path / "x").glob("*.bz2"))
+    assert len(files) == 5
+    assert sum(len(ElementTree.fromstring(bz2.decompress(f.read_bytes()).decode())) for f in files) == 100
+    pages = xmldump.read_pages(spark, str(tmp_path / "x"), strict=True)
+    assert {(r.id, r.revision[0].text) for r in pages.collect()} == {(i, f"a & b\nc {i}") for i in range(100)}
