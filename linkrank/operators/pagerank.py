@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,10 @@ from ..session import checkpointed, forgotten, static_plans
 from .graph import degrees, global_rank
 
 
+#: Edges of a partition, about. Fewer and larger partitions add up more of a target's sums before they are shuffled.
+PART_EDGES = 1 << 21
+
+
 @dataclass
 class Ranking:
     """page_id and pagerank; how many iterations ran, and the last L1 change."""
@@ -30,7 +35,8 @@ def inner_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
 def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = 100) -> Ranking:
     """Iterates until the L1 change is under ``tolerance``, or for ``max_iterations`` steps.
 
-    Nodes and edges are partitioned by (source) page once. A step joins them where they lie, adds up by target in each
+    Nodes and edges are partitioned by (source) page once, and a source's targets lie in one row, so a step reads eight
+    bytes of an edge and joins as many rows as nodes. It joins them where they lie, adds up by target in each
     task, and shuffles these partial sums to the nodes: one exchange, which hot targets don't skew. The new vector goes
     to the shared folder, so no step is computed twice and a lost executor costs one step; the one before it is deleted.
     One action gives the change and the next step's dangling mass.
@@ -39,21 +45,22 @@ def pagerank(pages: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
         raise ValueError("one iteration at least")
     spark = pages.sparkSession
     inner = inner_edges(pages, links)
-    nodes = degrees(pages, inner).select("page_id", "out_degree")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with static_plans(spark):
-        nodes = checkpointed(nodes.repartition(parts, "page_id"))
-        n = nodes.count()
-        if not n:
-            return Ranking(nodes.select("page_id", F.lit(0.0).alias("pagerank")), 0, 0.0)
-        sources = nodes.select(F.col("page_id").alias("source_page_id"), "out_degree")
-        weighted = inner.repartition(parts, "source_page_id").join(sources, "source_page_id")
-        weighted = checkpointed(weighted.select("source_page_id", "target_page_id", "out_degree"))
+    found = checkpointed(degrees(pages, inner).select("page_id", "out_degree"))
+    n, edges = found.agg(F.count(F.lit(1)), F.sum("out_degree")).first()
+    if not n:
+        return Ranking(found.select("page_id", F.lit(0.0).alias("pagerank")), 0, 0.0)
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(edges / PART_EDGES))
+    with static_plans(spark, parts):
+        nodes = checkpointed(found.repartition(parts, "page_id").sortWithinPartitions("page_id"))
+        # sorted, as the ranks are, so that no step sorts them again
+        packed = inner.repartition(parts, "source_page_id").groupBy("source_page_id").agg(F.collect_list("target_page_id").alias("targets"))
+        packed = checkpointed(packed.sortWithinPartitions("source_page_id"))
         ranks = nodes.select("page_id", "out_degree", F.lit(1.0 / n).alias("pagerank"))
         dangling, last = nodes.where("out_degree = 0").count() / n, None
         for step in range(1, max_iterations + 1):
             old = ranks.select(F.col("page_id").alias("source_page_id"), F.col("pagerank").alias("r"))
-            sent = weighted.join(old, "source_page_id").groupBy(F.col("target_page_id").alias("page_id")).agg(F.sum(F.col("r") / F.col("out_degree")).alias("sent"))
+            sent = packed.join(old, "source_page_id").select(F.explode("targets").alias("page_id"), (F.col("r") / F.size("targets")).alias("part"))
+            sent = sent.groupBy("page_id").agg(F.sum("part").alias("sent"))
             base = (1.0 - damping) / n + damping * dangling / n
             value = F.lit(base) + F.lit(damping) * F.coalesce("sent", F.lit(0.0))
             new = ranks.join(sent, "page_id", "left").select("page_id", "out_degree", value.alias("pagerank"), F.col("pagerank").alias("before"))

@@ -28,15 +28,18 @@ def session(app: str = "linkrank", **conf: str) -> SparkSession:
 
 
 @contextmanager
-def static_plans(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside keep their partitioning when they are cached or checkpointed, which adaptive ones don't."""
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def static_plans(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
+    """Plans made inside keep their partitioning when they are cached or checkpointed, which adaptive ones don't. They
+    shuffle to ``parts`` partitions, if given."""
+    settings = {"spark.sql.adaptive.enabled": "false"} | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linkrank.operators import cohorts, graph, reports, similarity
 from linkrank.operators import pagerank as ranking
@@ -137,3 +138,19 @@ def test_figures(spark):
     assert reports.histogram(df.where("v = 1"), "v").collect()[0]["n"] == 1
     b = reports.box(df.unionByName(spark.sql("SELECT 100.0D AS v, 'g' AS group_name")), "v").first()
     assert (b["median"], b["whisker_low"], b["whisker_high"]) == (5.5, 0.0, 10.0)
+
+
+def test_pagerank_is_dealt_by_edges(spark, monkeypatch):
+    """Partitions follow the number of edges, so a step's partial sums don't split into as many as the shuffle's default; a
+    source's edges are one row."""
+    monkeypatch.setattr(ranking, "PART_EDGES", 10)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        pages = spark.range(100).select(F.col("id").alias("page_id"))
+        links = spark.range(400).select((F.col("id") % 80).alias("source_page_id"), ((F.col("id") * 7 + F.col("id") % 5) % 100).alias("target_page_id"))
+        ranks = ranking.pagerank(pages, links, max_iterations=2).ranks
+        assert ranks.rdd.getNumPartitions() == max(40, spark.sparkContext.defaultParallelism)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+        assert ranks.count() == 100 and abs(ranks.agg(F.sum("pagerank")).first()[0] - 1) < 1e-9
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
